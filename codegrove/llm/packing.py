@@ -13,6 +13,8 @@ from __future__ import annotations
 import math
 import os
 import random
+import sys
+import types
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -43,7 +45,7 @@ class Encoder:
 
     TAIL = b"!\"#$%&()*+,-./:;=?@[]^_{|}~"
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,60 +55,74 @@ class Encoder:
         for token, i in vocabulary.items():
             self.last[i] = token.endswith("</w>")
         self.words: dict[bytes, bytes] = {}
+        self.cores: dict[bytes, bytes] = {}
         self.tails: dict[bytes, bytes] = {b"": b""}
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > self.limit:
-            self.words.clear()
-        letters: list[str] = []
-        ended: list[tuple[bytes, bytes]] = []
-        odd: list[bytes] = []
-        for w in words:
-            core = w.rstrip(self.TAIL)
-            text = core.decode()
-            if text.isalpha():
-                letters.append(text)
-                ended.append((w, w[len(core) :]))
-            else:
-                odd.append(w)
-        new = {tail for _, tail in ended}.difference(self.tails)
-        self.tails.update(zip(new, self._singly(list(new))))
-        for i in range(0, len(letters), 2048):
-            for (w, tail), data in zip(ended[i : i + 2048], self._together(letters[i : i + 2048])):
-                self.words[w] = data + self.tails[tail] if tail else data
+        whole = list(words)
+        cores = [w.rstrip(self.TAIL) for w in whole]
+        texts = b" ".join(cores).decode().split(" ")
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        tails = {whole[i][len(cores[i]) :] for i in plain}.difference(self.tails)
+        self.tails.update(zip(tails, self._singly(list(tails))))
+        keys = [cores[i].lower() for i in plain]
+        if len(self.cores) > self.limit:
+            self.cores.clear()
+        new = list(set(keys).difference(self.cores))
+        for at in range(0, len(new), 2048):
+            some = new[at : at + 2048]
+            self.cores.update(zip(some, self._together(b" ".join(some).decode())))
+        for i, key in zip(plain, keys):
+            w, n = whole[i], len(cores[i])
+            self.words[w] = self.cores[key] if n == len(w) else self.cores[key] + self.tails[w[n:]]
+        odd = [w for w, t in zip(whole, texts) if not t.isalpha()]
         self.words.update(zip(odd, self._singly(odd)))
 
     def _singly(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _together(self, words: list[str]) -> list[bytes]:
+    def _together(self, words: str) -> list[bytes]:
         """Ids of words of letters only: each is one run, so one token, its last, ends a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([words], add_special_tokens=False)[0].ids, "<u4")
         ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-        if len(ends) != len(words):
-            return self._singly([w.encode() for w in words])
+        if len(ends) != words.count(" ") + 1:
+            return self._singly([w.encode() for w in words.split(" ")])
         data = ids.tobytes()
         return [data[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
-        for i in range(0, len(texts), 64):  # so that the words of many long texts are not all held at once
-            some = [t.split() for t in texts[i : i + 64]]
+        at = 0
+        while at < len(texts):  # about a megabyte of text at a time
+            end, size = at, 0
+            while end < len(texts) and size < 1 << 20:
+                size += len(texts[end])
+                end += 1
+            some = [t.split() for t in texts[at:end]]
+            at = end
             all_words = set().union(*some)
             missing = all_words.difference(self.words)
             if missing:
-                before = len(self.words)
+                if len(self.words) + len(missing) > self.limit:
+                    self.words.clear()
+                    missing = all_words
                 self.learn(missing)
-                if len(self.words) < before + len(missing):
-                    self.learn(all_words.difference(self.words))
             out += [b"".join(map(self.words.__getitem__, words)) for words in some]
         return out
 
 
+def _encoder(path: str) -> Encoder:
+    """One encoder per worker process: what it has learned serves the process's later tasks too."""
+    kept = sys.modules.setdefault("_codegrove_encoders", types.ModuleType("_codegrove_encoders"))
+    if path not in vars(kept):
+        setattr(kept, path, Encoder(path))
+    return getattr(kept, path)
+
+
 def _pieces(path: str, capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = Encoder(path), np.array([end], "<u4").tobytes()
+        encoder, last = _encoder(path), np.array([end], "<u4").tobytes()
         width = 4 * capacity
         for batch in batches:
             ids, piece, start, length, crc, tokens = [], [], [], [], [], []
