@@ -71,6 +71,27 @@ def words_column(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RE), lambda w: w != "")
 
 
+def draw(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most `rows` rows, those with the smallest hash of key. Partitions send about their share, not `rows` each."""
+    n = df.count()
+    order = F.xxhash64(F.col(key))
+    if n > rows:
+        df = df.filter(F.pmod(F.shiftrightunsigned(order, 40), F.lit(1 << 20).cast("long")) < int((1 << 20) * min(1.0, 1.1 * rows / n)) + 1)
+    return df.orderBy(order, *df.columns).limit(rows)
+
+
+def most_frequent(counts: DataFrame, rows: int, count_col: str = "c") -> DataFrame:
+    """The rows of the largest counts, at most `rows` of them: a cut on the count, found from a small histogram."""
+    step = F.floor(F.log2(F.col(count_col).cast("double")) * 8)
+    steps = counts.filter(F.col(count_col) > 0).groupBy(step.alias("step")).count().collect()
+    edge, total = None, 0
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        if total + r["count"] > rows:
+            break
+        edge, total = r["step"], total + r["count"]
+    return counts.filter(F.lit(False) if edge is None else step >= edge)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return tune_df(df).mapInArrow(fn, schema)
 
