@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_mod, store
+from .common import arrow_map, crc_mod, draw, store
 from .textstats import COUNTS, RATIOS, text_stats
 
 FEATURES = COUNTS + RATIOS
@@ -128,11 +128,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     may = stats.filter(F.col("_id").isNotNull() & (crc_mod("_id", 5) != 0))
     good = labels.filter(F.col(label_col) == 1).select(F.col("doc_id").alias("_id")).distinct()
 
-    def draw(rows: DataFrame, n: int) -> np.ndarray:
-        some = rows.orderBy(F.xxhash64("_id"), "_id").limit(n).select(*FEATURES).collect()
+    def drawn(rows: DataFrame, n: int) -> np.ndarray:
+        some = draw(rows.select("_id", *FEATURES), "_id", n).select(*FEATURES).collect()
         return np.array([list(r) for r in some], np.float64).reshape(len(some), len(FEATURES))
 
-    net = train(draw(may.join(good, "_id", "left_semi"), positives), draw(may, unlabelled))
+    net = train(drawn(may.join(good, "_id", "left_semi"), positives), drawn(may, unlabelled))
     if net is None:
         return stats.select("_id", F.lit(0.5).alias("score")), None
     shared = docs.sparkSession.sparkContext.broadcast(net)

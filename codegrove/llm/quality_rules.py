@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, store
+from .common import crc_mod, draw, store
 from .textstats import COUNTS, RATIOS, text_stats
 
 FEATURES = COUNTS + RATIOS
@@ -138,7 +138,8 @@ def base_failed() -> Column:
 def labelled(stats: DataFrame, labels: DataFrame, label_col: str, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Feature rows and labels (1 good) of at most `rows` labelled rows that may teach, by hash of the id."""
     known = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label_col).alias("_label"))
-    some = stats.join(known.filter(crc_mod("_id", 5) != 0), "_id").orderBy(F.xxhash64("_id"), "_id", "_label").limit(rows).select("_label", *FEATURES).collect()
+    both = stats.join(known.filter(crc_mod("_id", 5) != 0), "_id").select("_id", "_label", *FEATURES)
+    some = draw(both, "_id", rows).select("_label", *FEATURES).collect()
     data = np.array([list(r) for r in some], np.float64).reshape(len(some), 1 + len(FEATURES))
     return data[:, 1:], data[:, 0]
 
