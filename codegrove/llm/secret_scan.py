@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, words_column
+from .common import arrow_map, draw, most_frequent, store, words_column
 
 #: Trees and their depth, features tried per split, candidate thresholds per feature.
 TREES, DEPTH, TRIED, CUTS = 40, 9, 5, 24
 #: Labelled findings the forest is fitted on at most (smallest hash of the value).
 FINDING_ROWS = 50_000
-#: Dictionary: the most frequent words of the corpus, of DICTIONARY_WORD letters or more.
-DICTIONARY, DICTIONARY_WORD = 5_000, 3
+#: Dictionary: the most frequent words of the corpus, of DICTIONARY_WORD letters or more, that occur DICTIONARY_COUNT times.
+DICTIONARY, DICTIONARY_WORD, DICTIONARY_COUNT = 5_000, 3, 2
 LIKELY = 0.5
 
 # Formats of public key kinds.
@@ -233,13 +233,14 @@ def train(docs: DataFrame, text_col: str = "text", findings: DataFrame | None =
     them; without any given, from the seeded synthetic ones. The dictionary is counted over all documents.
     """
     word = docs.select(F.explode(words_column(F.lower(F.col(text_col)))).alias("w")).filter(F.col("w").rlike(f"^[a-z]{{{DICTIONARY_WORD},}}$"))
-    common = [r["w"] for r in word.groupBy("w").count().orderBy(F.desc("count"), "w").limit(DICTIONARY).collect()]
+    counted = store(word.groupBy("w").agg(F.count("*").alias("c")).filter(F.col("c") >= DICTIONARY_COUNT), "dictionary")
+    common = [r["w"] for r in most_frequent(counted, DICTIONARY).orderBy(F.desc("c"), "w").collect()]
     words = frozenset(common)
     if findings is None:
         known = synthetic_findings(words=common[:2000] or None)
     else:
         columns = ["value", "kind", "before", "after", "path", "label"]
-        some = findings.filter(F.col("value").isNotNull() & F.col("label").isNotNull()).orderBy(F.xxhash64("value"), "value").limit(rows)
+        some = draw(findings.filter(F.col("value").isNotNull() & F.col("label").isNotNull()).select(*columns), "value", rows)
         known = [tuple(r) for r in some.select(*[F.coalesce(c, F.lit("")).alias(c) if c != "label" else F.col(c) for c in columns]).collect()]
     x = np.array([features(v, k, b, a, p, words) for v, k, b, a, p, _ in known if v], np.float64).reshape(-1, len(NAMES))
     return fit(x, np.array([r[5] for r in known if r[0]], np.float64), words)
