@@ -1,10 +1,6 @@
 """The catalogue of queries and the SQL each is checked against."""
 
-from __future__ import annotations
+from codegrove.plans import aggregates, calls, lookups, overlays, reducers, structure  # noqa: F401
+from codegrove.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
