@@ -39,6 +39,7 @@ SCRIPTS = [
     ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
 ]
 NAMES = sorted({n for n, _, _ in SCRIPTS}) + ["other"]
+_TEXT = "_text of the row"
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -235,7 +236,7 @@ def _spans(model, penalty: float):
             return out
 
         for batch in batches:
-            texts = [x.decode() for x in texts_of(batch, "_text")]
+            texts = [x.decode() for x in texts_of(batch, _TEXT)]
             split = [letter_runs(x) for x in texts]
             found: list[list[dict]] = []
             at, words = 0, 0
@@ -257,7 +258,7 @@ def label_spans(docs: DataFrame, model: Model, keep: list[str], text_col: str =
     of kept columns stay; an empty table gives an empty result. A column named spans is replaced.
     """
     keep = [c for c in keep if c != "spans"]
-    rows = docs.select(F.col(text_col).alias("_text"), *keep)
+    rows = docs.select(F.col(text_col).alias(_TEXT), *keep)
     kind = "array<struct<start:long,end:long,lang:string,letters:long,confidence:double>>"
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"spans {kind}"])
     return arrow_map(rows, _spans(docs.sparkSession.sparkContext.broadcast(model), penalty), schema)

@@ -115,7 +115,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     nothing = F.array(F.lit(None).cast("string"))
     made = ["copies", "source_size", "target"]
     columns = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    whole = docs.select(*columns, F.col(id_col).alias("_id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("_size"), F.array_sort(F.array_distinct(F.coalesce(F.col(sources_col), nothing))).alias("_in"))
+    whole = docs.select(F.struct(*columns).alias("_all"), F.col(id_col).alias("_id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("_size"), F.array_sort(F.array_distinct(F.coalesce(F.col(sources_col), nothing))).alias("_in"))
     whole = whole.withColumn("_key", F.to_json(F.struct("_in"), {"ignoreNullFields": "false"}))
     u = F.xxhash64(F.col("_id"), F.lit(seed))
     whole = whole.withColumn("_d1", F.shiftrightunsigned(u, 64 - _DIGIT)).withColumn("_d2", F.shiftrightunsigned(u, 64 - 2 * _DIGIT).bitwiseAND(F.lit((1 << _DIGIT) - 1).cast("long")))
@@ -149,7 +149,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     edges = store(plan.join(one.select("_key", "edge1"), "_key", "left").join(two, "_key", "left"), "edges")
     more = (F.col("_d1") < F.col("edge1")) | ((F.col("_d1") == F.col("edge1")) & (F.col("_d2") <= F.col("edge2")))
     copies = F.least(F.lit(most).cast("long"), F.col("base") + F.when(more & (F.col("rest") > 0), 1).otherwise(0))
-    return whole.join(small(edges), "_key").select(*columns, "source_size", "target", copies.alias("copies"))
+    return whole.join(small(edges), "_key").select("_all.*", "source_size", "target", copies.alias("copies"))
 
 
 def repeated(docs: DataFrame, copies: Column) -> DataFrame:
