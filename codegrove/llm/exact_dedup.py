@@ -58,18 +58,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     made = ["keep_id", "group_size", "kept", "text_sha256"]
     columns = [c for c in (docs.columns if keep is None else keep) if c not in made]
     n = docs.count()
+    # kept columns travel as one struct, so that their names meet no others
+    text, sha = normalised(F.col(text_col)), F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
+    kept = [F.struct(*columns).alias("_all"), F.col(id_col).alias("_id")]
+    if text_col not in columns:  # narrow rows: normalise and hash each text once, and go on from the digests
+        rows = store(docs.select(*kept, sha.alias("_sha")), "digests")
+        h, sha = F.xxhash64("_sha"), F.col("_sha")
+    else:
+        rows = docs.select(*kept, text.alias("_text"))
+        h, sha = F.xxhash64("_text"), F.sha2(F.col("_text").cast("binary"), 256)
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << math.ceil(math.log2(max(1, BITS_PER_ROW * n)))))
-    text = normalised(F.col(text_col))
-    h = F.xxhash64(text)
-    words = store(repeated_filter(docs, h, bits), "bits").scalar()
+    words = store(repeated_filter(rows, h, bits), "bits").scalar()
     one, two = _slots(h, bits)
     seen = _is_set(words, one) & _is_set(words, two)
-    sha = F.sha2(text.cast("binary"), 256)
 
-    once = docs.filter(~seen).select(*columns, F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha.alias("text_sha256"))
-    maybe = store(docs.filter(seen).select(*columns, F.col(id_col).alias("_id"), sha.alias("text_sha256")), "repeated")
+    once = rows.filter(~seen).select("_all.*", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha.alias("text_sha256"))
+    maybe = store(rows.filter(seen).select("_all", "_id", sha.alias("_sha")), "repeated")
     maybe = maybe.withColumn("_row", F.monotonically_increasing_id())
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row"))
-    groups = store(maybe.groupBy("text_sha256").agg(first.alias("_first"), F.count("*").alias("group_size")), "groups")
-    joined = maybe.join(groups, "text_sha256")
-    return once.unionByName(joined.select(*columns, F.col("_first._id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_first._row")).alias("kept"), "text_sha256"))
+    groups = store(maybe.groupBy("_sha").agg(first.alias("_first"), F.count("*").alias("_size")), "groups")
+    joined = maybe.join(groups, "_sha")
+    return once.unionByName(joined.select("_all.*", F.col("_first._id").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_row") == F.col("_first._row")).alias("kept"), F.col("_sha").alias("text_sha256")))
