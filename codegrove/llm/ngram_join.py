@@ -48,7 +48,7 @@ LONG_SET, EXTRA = 50, 3
 #: Bucket partners of this similarity belong to one family, whether linked or not.
 FAMILY = 0.5
 #: Bounds of a group (documents, tokens) and of the queries that one task asks of it.
-GROUP_DOCS, GROUP_TOKENS, GROUP_QUERIES = 128, 131_072, 2048
+GROUP_DOCS, GROUP_TOKENS, GROUP_QUERIES = 128, 131_072, 256
 
 _SEEDS = mix64(np.arange(1, BUCKETS * MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
 
