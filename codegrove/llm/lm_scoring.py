@@ -26,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, crc_mod, pack_blocks, read_blocks, store, sum_blocks, texts_of
+from .common import arrow_map, crc_mod, most_frequent, pack_blocks, read_blocks, store, sum_blocks, texts_of
 
 #: Words that are classes of their own, and classes of the other words.
 FREQUENT, TAILS = 96, 64
 #: Words whose counts every worker holds.
 HEAD = 100_000
-DIM, STEPS, BATCH, NOISE, RATE = 24, 2500, 2048, 128, 0.02
+DIM, STEPS, BATCH, NOISE, RATE = 24, 1800, 2048, 128, 0.02
 #: Distinct words a counting task holds before it hands them on.
 HELD = 400_000
 
@@ -264,8 +264,9 @@ def score_texts(docs: DataFrame, train_filter=None, id_col: str = "doc_id", text
     counts = arrow_map(learn, _count, "h long, tail int, c long").groupBy("h").agg(F.sum("c").alias("c"), F.first("tail").alias("tail"))
     counts = store(counts, "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(HEAD).select("h", "c").collect()
+    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT + 1).select("h", "c").collect()
     frequent = [r["h"] for r in top if r["h"] != END_HASH][:FREQUENT]
+    top += most_frequent(counts, HEAD).select("h", "c").collect()
     hashes = {r["h"]: r["c"] for r in top}
     hashes |= {r["h"]: r["c"] for r in counts.filter(F.col("h") == END_HASH).select("h", "c").collect()}
     words = spark.sparkContext.broadcast(Words(np.array(list(hashes), np.int64), np.array(list(hashes.values()), np.int64), frequent))
