@@ -116,13 +116,13 @@ def r15(g):
     return board(size, "owner", "size").unionByName(board(into, "dst", "import_fan_in"))
 
 
-_SCORE = "CASE WHEN lower(qualified_name) = 'china' THEN 1.0 WHEN lower(regexp_extract(qualified_name, '[^.]*$')) = 'china' THEN 0.9 WHEN lower(qualified_name) LIKE '%.china' THEN 0.8 WHEN lower(qualified_name) LIKE 'china%' THEN 0.75 WHEN lower(qualified_name) LIKE '%china%' THEN 0.6 ELSE 0.5 END"
-_FOUND = f"(SELECT structural_id, qualified_name, CAST({_SCORE} AS DOUBLE) AS score FROM (SELECT * FROM @nodes n WHERE contains(lower(qualified_name), 'china') ORDER BY qualified_name, file_path, structural_id LIMIT 50) p ORDER BY score DESC, qualified_name, structural_id LIMIT 10)"
+_SCORE = "CASE WHEN lower(qualified_name) = 'nation_1' THEN 1.0 WHEN lower(regexp_extract(qualified_name, '[^.]*$')) = 'nation_1' THEN 0.9 WHEN lower(qualified_name) LIKE '%.nation_1' THEN 0.8 WHEN lower(qualified_name) LIKE 'nation_1%' THEN 0.75 WHEN lower(qualified_name) LIKE '%nation_1%' THEN 0.6 ELSE 0.5 END"
+_FOUND = f"(SELECT structural_id, qualified_name, CAST({_SCORE} AS DOUBLE) AS score FROM (SELECT * FROM @nodes n WHERE contains(lower(qualified_name), 'nation_1') ORDER BY qualified_name, file_path, structural_id LIMIT 50) p ORDER BY score DESC, qualified_name, structural_id LIMIT 10)"
 
 
 def _found(g):
-    first = g.nodes.filter(F.lower("qualified_name").contains("china")).orderBy("qualified_name", "file_path", "structural_id").limit(50)
-    return first.select("structural_id", "qualified_name", N.match_score("CHINA", C("structural_id"), C("qualified_name")).alias("score")).orderBy(F.desc("score"), "qualified_name", "structural_id").limit(10)
+    first = g.nodes.filter(F.lower("qualified_name").contains("nation_1")).orderBy("qualified_name", "file_path", "structural_id").limit(50)
+    return first.select("structural_id", "qualified_name", N.match_score("NATION_1", C("structural_id"), C("qualified_name")).alias("score")).orderBy(F.desc("score"), "qualified_name", "structural_id").limit(10)
 
 
 @query("R16_symbol_lookup", f"SELECT * FROM {_FOUND} x")
