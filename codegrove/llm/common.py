@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import sys
 import tempfile
 import uuid
 import zlib
@@ -92,8 +93,19 @@ def most_frequent(counts: DataFrame, rows: int, count_col: str = "c") -> DataFra
     return counts.filter(F.lit(False) if edge is None else step >= edge)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return tune_df(df).mapInArrow(fn, schema)
+#: Name of the module object under which a worker process holds what outlives its tasks.
+WORKER_STATE = "_codegrove_worker_state"
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keep_state: bool = False) -> DataFrame:
+    """mapInArrow over small batches. Worker processes are reused, so what another map left in one is let go first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep_state:
+            sys.modules.pop(WORKER_STATE, None)
+        return fn(batches)
+
+    return tune_df(df).mapInArrow(run, schema)
 
 
 def tune_df(df: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, store, texts_of
+from .common import WORKER_STATE, arrow_map, store, texts_of
 
 CAPACITY = 4096
 END = 1
@@ -45,7 +45,7 @@ class Encoder:
 
     TAIL = b"!\"#$%&()*+,-./:;=?@[]^_{|}~"
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -114,7 +114,7 @@ class Encoder:
 
 def _encoder(path: str) -> Encoder:
     """One encoder per worker process: what it has learned serves the process's later tasks too."""
-    kept = sys.modules.setdefault("_codegrove_encoders", types.ModuleType("_codegrove_encoders"))
+    kept = sys.modules.setdefault(WORKER_STATE, types.ModuleType(WORKER_STATE))
     if path not in vars(kept):
         setattr(kept, path, Encoder(path))
     return getattr(kept, path)
@@ -304,7 +304,7 @@ def cut_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     extra = ", ids binary" if with_ids else ""
-    return arrow_map(rows, _pieces(path, capacity, end, with_ids), "id long, piece int, start long, length long, ids_crc32 long" + extra)
+    return arrow_map(rows, _pieces(path, capacity, end, with_ids), "id long, piece int, start long, length long, ids_crc32 long" + extra, keep_state=True)
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
