@@ -203,7 +203,7 @@ def _spans(model, penalty: float):
             nonlocal table
             if not m.langs:
                 return [[] for _ in texts]
-            if len(known) > 300_000:
+            if len(known) > 150_000:
                 known.clear()
                 table = table[:0]
             new = list(set().union(*split).difference(known))

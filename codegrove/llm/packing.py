@@ -45,7 +45,7 @@ class Encoder:
 
     TAIL = b"!\"#$%&()*+,-./:;=?@[]^_{|}~"
 
-    def __init__(self, path: str, limit: int = 450_000):
+    def __init__(self, path: str, limit: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
