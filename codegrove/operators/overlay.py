@@ -36,3 +36,50 @@ def patched_counts(committed: DataFrame, deltas: DataFrame, keys: list[str], cou
     total = F.greatest(F.lit(0), F.coalesce(count, F.lit(0)) + F.coalesce("delta", F.lit(0)))
     origin = F.when(F.col(count).isNull(), "overlay_added").when(F.coalesce("delta", F.lit(0)) == 0, "committed").when(total == 0, "overlay_removed").otherwise("overlay_changed")
     return both.select(*keys, total.alias(count), origin.alias("row_origin"))
+
+
+def patched_rows(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Rows of both snapshots by key: the new value of a field where there is one, and where each row comes from."""
+    a = old.select(key, *[F.col(f).alias(f"o_{f}") for f in fields], F.lit(True).alias("in_old"))
+    b = new.select(key, *[F.col(f).alias(f"n_{f}") for f in fields], F.lit(True).alias("in_new"))
+    same = F.lit(True)
+    for f in fields:
+        same = same & F.col(f"o_{f}").eqNullSafe(F.col(f"n_{f}"))
+    origin = F.when(F.col("in_old").isNull(), "overlay_added").when(F.col("in_new").isNull(), "overlay_removed").when(same, "committed").otherwise("overlay_changed")
+    pick = [F.when(F.col("in_new").isNull(), F.col(f"o_{f}")).otherwise(F.col(f"n_{f}")).alias(f) for f in fields]
+    return a.join(b, key, "full_outer").select(key, *pick, origin.alias("row_origin"))
+
+
+def patched_lookup(committed: DataFrame, added: DataFrame, removed: DataFrame, key: str, score: float, limit: int) -> DataFrame:
+    """Scored matches with added rows at a set score, removed ones marked stale; best first, at most `limit`."""
+    gone = removed.select(key).distinct().withColumn("gone", F.lit(True))
+    kept = committed.join(gone, key, "left")
+    origin = F.when(F.col("gone"), "overlay_removed").otherwise("committed").alias("row_origin")
+    status = F.when(F.col("gone"), "stale").otherwise("active").alias("match_status")
+    fresh = added.join(committed.select(key), key, "left_anti").select(key, "qualified_name", F.lit(score).alias("score"), F.lit("overlay_added").alias("row_origin"), F.lit("active").alias("match_status"))
+    return kept.select(key, "qualified_name", "score", origin, status).unionByName(fresh).orderBy(F.desc("score"), "qualified_name", key).limit(limit)
+
+
+def fan_changes(edges: DataFrame) -> DataFrame:
+    """node_id, edge_kind, d_in, d_out of edges (src, dst, edge_type, diff_kind), summed in one exchange."""
+    sign = F.when(F.col("diff_kind") == "add", 1).otherwise(-1)
+    none = F.lit(0)
+    ends = F.array(F.struct(F.col("src").alias("node_id"), none.alias("i"), sign.alias("o")), F.struct(F.col("dst").alias("node_id"), sign.alias("i"), none.alias("o")))
+    return edges.select("edge_type", F.explode(ends).alias("e")).groupBy(F.col("e.node_id").alias("node_id"), F.col("edge_type").alias("edge_kind")).agg(F.sum("e.i").alias("d_in"), F.sum("e.o").alias("d_out"))
+
+
+def patched_fan(committed: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Fan totals (node_id, edge_kind, fan_in, fan_out) with deltas, not below zero, for all nodes and not a cut list."""
+    both = committed.withColumn("known", F.lit(True)).join(deltas, ["node_id", "edge_kind"], "full_outer")
+
+    def total(fan: str, d: str):
+        return F.greatest(F.lit(0), F.coalesce(fan, F.lit(0)) + F.coalesce(d, F.lit(0)))
+
+    moved = (F.coalesce("d_in", F.lit(0)) != 0) | (F.coalesce("d_out", F.lit(0)) != 0)
+    origin = F.when(F.col("known").isNull(), "overlay_added").when(moved, "overlay_changed").otherwise("committed")
+    return both.select("node_id", "edge_kind", total("fan_in", "d_in").alias("fan_in"), total("fan_out", "d_out").alias("fan_out"), origin.alias("row_origin"))
+
+
+def caller_transitions(calls: DataFrame) -> DataFrame:
+    """Callers whose calls (src, dst, diff_kind) changed: added, removed and their difference."""
+    return calls.groupBy("src").agg(F.count_if(F.col("diff_kind") == "add").alias("added"), F.count_if(F.col("diff_kind") == "remove").alias("removed")).withColumn("delta", F.col("added") - F.col("removed"))

@@ -73,3 +73,37 @@ def strict_gate(sites: DataFrame, candidates: DataFrame, scopes: DataFrame, reac
         .otherwise(drop("ambiguous_multiple_in_scope_candidates"))
     )
     return g.withColumn("o", out).select("site", F.col("o.a").alias("accepted"), F.col("o.p").alias("provenance"), F.col("o.d").alias("dropped_reason"), F.col("n_all").alias("candidate_count"), F.col("n_near").alias("in_scope_count"))
+
+
+def best_by_path(candidates: DataFrame) -> DataFrame:
+    """site, best: the candidate with the shallowest module, then by module, name and id."""
+    order = F.struct(F.size(F.split("module", r"\.")), "module", "name", "candidate")
+    return candidates.groupBy("site").agg(F.min_by("candidate", order).alias("best"))
+
+
+def best_by_distance(candidates: DataFrame, distances: DataFrame) -> DataFrame:
+    """site, best, distance: the candidate fewest imports away from the caller's module, then by depth, name and id.
+
+    candidates(site, caller_module, candidate, name, module), distances(caller_module, module, distance).
+    The caller's own module is at 0; candidates that are not reached come last, with a null distance.
+    """
+    d = candidates.join(distances, ["caller_module", "module"], "left")
+    far = F.when(F.col("module") == F.col("caller_module"), 0).otherwise(F.col("distance"))
+    order = F.struct(F.coalesce(far, F.lit(1 << 30)), F.size(F.split("name", r"\.")), F.col("name"), F.col("candidate"))
+    return d.groupBy("site").agg(F.min(F.struct(order.alias("o"), far.alias("distance"))).alias("m")).select("site", F.col("m.o.candidate").alias("best"), F.col("m.distance").cast("long").alias("distance"))
+
+
+def rescue(decisions: DataFrame, sites: DataFrame, candidates: DataFrame, distances: DataFrame) -> DataFrame:
+    """Decisions in which an ambiguous drop goes to its nearest candidate, if the caller reaches that one's module.
+
+    Only rows still dropped are looked at; the nearest candidate is checked again before it is accepted.
+    """
+    open_ = decisions.filter(F.col("dropped_reason").startswith("ambiguous")).select("site")
+    c = candidates.join(open_, "site", "left_semi").join(sites.select("site", "caller_module"), "site")
+    near = best_by_distance(c, distances).filter("distance is not null").select("site", "best")
+    both = decisions.join(near, "site", "left")
+    saved = F.col("best").isNotNull()
+    return both.select(
+        "site", F.coalesce("accepted", "best").alias("accepted"), F.when(saved, "import_narrowed").otherwise(F.col("provenance")).alias("provenance"),
+        F.when(~saved, F.col("dropped_reason")).alias("dropped_reason"), saved.alias("rescued"),
+    )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from codegrove.functions import names as N
+from codegrove.operators import diagnostics
 from codegrove.operators import graph as G
 from codegrove.operators import overlay as V
 from codegrove.operators import resolution as R
@@ -137,3 +138,54 @@ def test_fan_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.node_id: (r.fan_in, r.fan_out) for r in spark.table("fans").collect()} == {"a": (0, 1), "b": (0, 0), "c": (1, 0)}
+
+
+def test_patched_rows_take_new_values_and_keep_removed_rows(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 2), ("c", None)], "id string, v int")
+    new = spark.createDataFrame([("a", 1), ("b", None), ("d", 4)], "id string, v int")
+    got = {tuple(r) for r in V.patched_rows(old, new, "id", ["v"]).collect()}
+    assert got == {("a", 1, "committed"), ("b", None, "overlay_changed"), ("c", None, "overlay_removed"), ("d", 4, "overlay_added")}
+
+
+def test_patched_fan_keeps_nodes_without_changes_and_stops_at_zero(spark):
+    fan = spark.createDataFrame([("a", "CALLS", 0, 1), ("b", "CALLS", 1, 0), ("c", "CALLS", 2, 2)], "node_id string, edge_kind string, fan_in long, fan_out long")
+    rows = [("a", "b", "CALLS", "remove"), ("a", "b", "CALLS", "remove"), ("c", "d", "CALLS", "add")]
+    changes = V.fan_changes(spark.createDataFrame(rows, "src string, dst string, edge_type string, diff_kind string"))
+    got = {r[0]: tuple(r)[2:] for r in V.patched_fan(fan, changes).collect()}
+    assert got == {"a": (0, 0, "overlay_changed"), "b": (0, 0, "overlay_changed"), "c": (2, 3, "overlay_changed"), "d": (1, 0, "overlay_added")}
+
+
+def test_patched_lookup_marks_removed_matches_and_adds_new_ones(spark):
+    old = spark.createDataFrame([("1", "m.a", 0.9), ("2", "m.b", 0.6)], "id string, qualified_name string, score double")
+    added = spark.createDataFrame([("1", "m.a"), ("3", "m.c")], "id string, qualified_name string")
+    got = [tuple(r) for r in V.patched_lookup(old, added, old.filter("id = '2'"), "id", 0.55, 10).collect()]
+    assert got == [("1", "m.a", 0.9, "committed", "active"), ("2", "m.b", 0.6, "overlay_removed", "stale"), ("3", "m.c", 0.55, "overlay_added", "active")]
+
+
+def test_rescue_takes_the_nearest_reached_candidate_of_ambiguous_sites_only(spark):
+    decisions = spark.createDataFrame(
+        [("s1", None, None, "ambiguous_no_in_scope_candidate"), ("s2", None, None, "unique_without_provenance"), ("s3", "x", "exact_qname", None), ("s4", None, None, "ambiguous_no_in_scope_candidate")],
+        "site string, accepted string, provenance string, dropped_reason string",
+    )
+    sites = spark.createDataFrame([(f"s{i}", "m") for i in range(1, 5)], "site string, caller_module string")
+    c = spark.createDataFrame([("s1", "far", "p.f", "p"), ("s1", "near", "q.f", "q"), ("s2", "near", "q.f", "q"), ("s4", "lost", "z.f", "z"), ("s4", "gone", "y.f", "y")], "site string, candidate string, name string, module string")
+    distances = spark.createDataFrame([("m", "p", 3), ("m", "q", 1)], "caller_module string, module string, distance long")
+    got = {r["site"]: (r["accepted"], r["dropped_reason"], r["rescued"]) for r in R.rescue(decisions, sites, c, distances).collect()}
+    assert got == {"s1": ("near", None, True), "s2": (None, "unique_without_provenance", False), "s3": ("x", None, False), "s4": (None, "ambiguous_no_in_scope_candidate", False)}
+
+
+def test_drop_buckets(spark):
+    cases = [
+        ("a.then", False, "no_candidates", 0, "fluent_or_promise_chain_shape", "outside_static_contract"),
+        ("map", False, "no_candidates", 0, "dynamic_member_terminal_shape", "outside_static_contract"),
+        ("a.b", True, None, None, "fixture_or_generated_shape", "outside_static_contract"),
+        ("a.server.b", False, "x", 2, "namespace_or_module_object_miss_shape", "insufficient_static_evidence"),
+        ("a.index.b", False, "unique_without_provenance", 1, "runtime_composed_surface_shape", "outside_static_contract"),
+        (None, False, "no_candidates", 3, "no_in_repo_callable_target", "insufficient_static_evidence"),
+        ("a.b", False, "invalid_observation_shape", 1, "unclassified_persisted_drop", "structural_mismatch"),
+        ("a.b", False, None, 1, "unclassified_persisted_drop", "unclassified"),
+    ]
+    rows = spark.createDataFrame(cases, "identifier string, fixture boolean, reason string, n int, want string, public string")
+    c = F.col
+    got = rows.withColumn("bucket", diagnostics.drop_bucket(c("identifier"), c("fixture"), c("reason"), c("n"))).withColumn("out", diagnostics.public_bucket(c("bucket"), c("reason")))
+    assert all((r["bucket"], r["out"]) == (r["want"], r["public"]) for r in got.collect())
