@@ -27,6 +27,7 @@ def strict_gate(sites: DataFrame, candidates: DataFrame, scopes: DataFrame, reac
     sites(site, identifier, caller_module), candidates(site, candidate, name, module, direct),
     scopes(caller_module, module): direct imports; reach(caller_module, module): transitive ones.
     Returns site, accepted, provenance, dropped_reason, candidate_count, in_scope_count.
+    n candidates that share name, module and direct may be one row with the smallest of them and a column n.
 
     Several exact names go to the one in the identifier's qualifier. A single candidate is
     accepted by name, by its own module, an enclosing module, or anything the caller reaches. Among several,
@@ -42,7 +43,8 @@ def strict_gate(sites: DataFrame, candidates: DataFrame, scopes: DataFrame, reac
     tail = lambda x: F.array_join(F.slice(F.split(x, r"\."), -3, 3), ".")
     long = (F.size(F.split("identifier", r"\.")) >= 3) & (F.size(F.split("name", r"\.")) >= 3)
     named = dotted & (F.col("name") == F.col("identifier"))
-    pick = lambda cond: (F.count_if(cond), F.min(F.when(cond, F.col("candidate"))))
+    weight = F.col("n") if "n" in candidates.columns else F.lit(1).cast("long")
+    pick = lambda cond: (F.coalesce(F.sum(F.when(cond, weight)), F.lit(0).cast("long")), F.min(F.when(cond, F.col("candidate"))))
     parts = {"all": F.col("candidate").isNotNull(), "named": named, "owned": named & (F.col("module") == qualifier(F.col("identifier"))), "near": near & F.col("candidate").isNotNull(), "tail": near & dotted & long & (tail(F.col("name")) == tail(F.col("identifier")))}
     aggs = []
     for k, cond in parts.items():

@@ -22,8 +22,11 @@ d AS (SELECT DISTINCT 'root.' || h.brand AS caller_module, 'root.' || p_brand AS
 
 
 def _inputs(g):
+    """Sites, candidates and direct scopes over all rows. The n parts of a name and brand are one candidate row with
+    their smallest key; the queries count and order them alike. _SITES still has the id filters these no longer have.
+    """
     li = g.lineitem.select("l_suppkey", "l_partkey", "l_quantity").join(g.part.select(C("p_partkey").alias("l_partkey"), "p_name", "p_brand"), "l_partkey")
-    sites = li.filter("l_quantity >= 49").select("l_suppkey", "p_name").distinct()
+    sites = li.select("l_suppkey", "p_name").distinct()
     home = li.groupBy("l_suppkey", "p_brand").agg(F.count("*").alias("n")).groupBy("l_suppkey").agg(F.max(F.struct("n", "p_brand")).alias("b")).select("l_suppkey", C("b.p_brand").alias("brand"))
     root = lambda c: F.concat(F.lit("root."), c)
     s = sites.join(home, "l_suppkey").select(
@@ -31,9 +34,10 @@ def _inputs(g):
         F.when(C("l_suppkey") % 2 == 0, C("p_name")).otherwise(F.concat(root(C("brand")), F.lit("."), C("p_name"))).alias("identifier"),
         root(C("brand")).alias("caller_module"), "p_name",
     )
-    parts = g.part.filter("p_partkey % 7 = 0").select("p_name", C("p_partkey").cast("string").alias("candidate"), F.concat(root(C("p_brand")), F.lit("."), C("p_name")).alias("name"), root(C("p_brand")).alias("module"))
-    cands = s.select("site", "p_name").join(parts, "p_name").select("site", "candidate", "name", "module", F.lit(False).alias("direct"))
-    scopes = li.filter("l_quantity >= 50 and l_partkey % 20 = 0").join(home, "l_suppkey").select(root(C("brand")).alias("caller_module"), root(C("p_brand")).alias("module")).distinct()
+    parts = g.part.groupBy("p_name", "p_brand").agg(F.min(C("p_partkey").cast("string")).alias("candidate"), F.count_distinct("p_partkey").alias("n"))
+    parts = parts.select("p_name", "candidate", "n", F.concat(root(C("p_brand")), F.lit("."), C("p_name")).alias("name"), root(C("p_brand")).alias("module"))
+    cands = s.select("site", "p_name").join(parts, "p_name").select("site", "candidate", "n", "name", "module", F.lit(False).alias("direct"))
+    scopes = li.filter("l_quantity >= 50").join(home, "l_suppkey").select(root(C("brand")).alias("caller_module"), root(C("p_brand")).alias("module")).distinct()
     return s.drop("p_name"), cands, scopes
 
 
@@ -89,7 +93,7 @@ def c2(g):
 @query("C17_callsite_pairs", f"WITH {_SITES} SELECT site, count(*) AS pairs, min(candidate) AS first_callee FROM c GROUP BY site")
 def c17(g):
     _, cands, _ = _inputs(g)
-    return cands.groupBy("site").agg(F.count("*").alias("pairs"), F.min("candidate").alias("first_callee"))
+    return cands.groupBy("site").agg(F.sum("n").alias("pairs"), F.min("candidate").alias("first_callee"))
 
 
 @query("X1_rejected_buckets", _GATE + "SELECT coalesce(bucket, 'total') AS bucket, count(*) AS sites FROM (SELECT CASE WHEN o = 'no_candidates' AND contains(identifier, '.') THEN 'external_dotted' WHEN o = 'no_candidates' THEN 'external_plain' WHEN o LIKE 'ambiguous%' THEN 'ambiguous' ELSE 'weak_static_evidence' END AS bucket FROM r WHERE o NOT LIKE '+%') x GROUP BY ROLLUP (bucket)")
