@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codegrove.operators import graph as G
 from codegrove.operators import resolution as R
 from codegrove.plans.registry import query
 
@@ -57,9 +58,15 @@ _GATE_ROWS = _GATE + """SELECT site, CASE WHEN o NOT LIKE '+%' THEN NULL WHEN nn
 CASE WHEN o LIKE '+%' THEN substr(o, 2) END AS provenance, CASE WHEN o NOT LIKE '+%' THEN o END AS dropped_reason, n AS candidate_count, nr AS in_scope_count FROM r"""
 
 
+def distances(scopes):
+    """caller_module, module, distance of all modules reached over one import or more."""
+    far = G.closure(scopes.select(C("caller_module").alias("src"), C("module").alias("dst")))
+    return far.select(C("src").alias("caller_module"), C("dst").alias("module"), "distance")
+
+
 def gate(g):
     s, cands, scopes = _inputs(g)
-    return R.strict_gate(s, cands, scopes, scopes)
+    return R.strict_gate(s, cands, scopes, distances(scopes))
 
 
 @query("C7_strict_gate", _GATE_ROWS)
@@ -100,6 +107,6 @@ def c17(g):
 def x1(g):
     s, cands, scopes = _inputs(g)
     d = C("dropped_reason")
-    rows = R.strict_gate(s, cands, scopes, scopes).filter(d.isNotNull()).join(s.select("site", "identifier"), "site")
+    rows = R.strict_gate(s, cands, scopes, distances(scopes)).filter(d.isNotNull()).join(s.select("site", "identifier"), "site")
     bucket = F.when((d == "no_candidates") & C("identifier").contains("."), "external_dotted").when(d == "no_candidates", "external_plain").when(d.startswith("ambiguous"), "ambiguous").otherwise("weak_static_evidence")
     return rows.rollup(bucket.alias("bucket")).agg(F.count("*").alias("sites")).select(F.coalesce("bucket", F.lit("total")).alias("bucket"), "sites")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codegrove.operators import diagnostics as X
-from codegrove.operators import graph as G
 from codegrove.operators import resolution as R
-from codegrove.plans.calls import _GATE, _SITES, _inputs, gate
+from codegrove.plans.calls import _GATE, _SITES, _inputs, distances, gate
 from codegrove.plans.registry import query
 
 C = F.col
@@ -22,11 +21,6 @@ _SITES_R = "WITH RECURSIVE " + _SITES
 _GATE_R = _GATE.replace("WITH sites", "WITH RECURSIVE sites", 1)
 
 
-def _distances(scopes):
-    far = G.closure(scopes.select(C("caller_module").alias("src"), C("module").alias("dst")))
-    return far.select(C("src").alias("caller_module"), C("dst").alias("module"), "distance")
-
-
 @query("W4_best_by_module_path", f"WITH {_SITES} SELECT site, candidate AS best FROM c QUALIFY row_number() OVER (PARTITION BY site ORDER BY len(string_split(module, '.')), module, name, candidate) = 1")
 def w4(g):
     return R.best_by_path(_inputs(g)[1])
@@ -35,7 +29,7 @@ def w4(g):
 @query("W5_best_by_distance", _SITES_R + _FAR + "SELECT * FROM best")
 def w5(g):
     s, cands, scopes = _inputs(g)
-    return R.best_by_distance(cands.join(s.select("site", "caller_module"), "site"), _distances(scopes))
+    return R.best_by_distance(cands.join(s.select("site", "caller_module"), "site"), distances(scopes))
 
 
 @query(
@@ -46,7 +40,7 @@ def w5(g):
 )
 def c13(g):
     s, cands, scopes = _inputs(g)
-    return R.rescue(gate(g), s, cands, _distances(scopes))
+    return R.rescue(gate(g), s, cands, distances(scopes))
 
 
 _TAILS = [".then", ".finally", ".map", ".server.run", ".index.go", ".Type.make"]

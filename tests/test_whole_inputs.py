@@ -42,3 +42,13 @@ def test_call_sites_and_candidates_are_all_rows(spark, tables):
     assert {r.site: (r.candidate_count, r.in_scope_count) for r in QUERIES["C7_strict_gate"](spark, folder).collect()} == want
     assert {r.site: (r.pairs, r.first_callee) for r in QUERIES["C17_callsite_pairs"](spark, folder).collect()} == pairs
     assert {r.site: r.best for r in QUERIES["W4_best_by_module_path"](spark, folder).collect()} == best
+
+
+def test_a_single_candidate_two_imports_away_is_accepted(spark, tmp_path):
+    part = [(1, "a", "A"), (2, "b", "B"), (3, "c", "C"), (4, "d", "D")]
+    shipped = [(2, 1, 10.0)] * 2 + [(2, 2, 50.0), (2, 3, 10.0)] + [(4, 2, 10.0)] * 2 + [(4, 3, 50.0), (4, 4, 10.0)]  # A imports B, B imports C; nothing imports D
+    write(spark, str(tmp_path), part, shipped)
+    got = {r.site: (r.accepted, r.provenance, r.dropped_reason) for r in QUERIES["C7_strict_gate"](spark, str(tmp_path)).collect()}
+    assert got["2/b"] == ("2", "import_narrowed", None) and got["2/c"] == ("3", "import_narrowed", None)
+    assert got["4/d"] == (None, None, "unique_without_provenance")
+    assert {r.bucket: r.sites for r in QUERIES["X1_rejected_buckets"](spark, str(tmp_path)).collect()} == {"weak_static_evidence": 1, "total": 1}
