@@ -36,35 +36,56 @@ FORMATS = [
     ("private_key", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")),
     ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
 ]
+# A part that every match of the format has.
+MARKS = {"aws_access_key": ["AKIA", "ASIA"], "github_token": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], "slack_token": ["xox"], "private_key": ["PRIVATE KEY"], "jwt": [".eyJ"]}
 KINDS = ["assigned", "opaque"] + [n for n, _ in FORMATS]
 # Words that speak for or against a secret when they stand beside one.
 FOR = ["api", "apikey", "auth", "aws", "bearer", "credential", "key", "passwd", "password", "private", "pwd", "secret", "token"]
 AGAINST = ["checksum", "commit", "digest", "etag", "example", "file", "hash", "id", "md5", "order", "revision", "sha", "sha1", "sha256", "url", "uuid", "version"]
 
-# Alternatives in order: a whole private key head, an assignment, or a long mixed run with a digit.
+# Alternatives in order: a whole private key head (a format), an assignment, or a long run.
 _CANDIDATE = re.compile(
     r"(?P<head>-----BEGIN [A-Z ]*PRIVATE KEY-----)"
-    r"|(?P<name>[A-Za-z_][A-Za-z_\-]{1,30})[ ]?(?::=|=>|=|:)[ ]?[\"']?(?P<value>[A-Za-z0-9+/_.~\-]{8,512}={0,2})"
-    r"|(?P<run>(?=[A-Za-z+/_.\-]{0,64}[0-9])(?<![A-Za-z0-9])[A-Za-z0-9+/_.\-]{16,512}={0,2})"
+    r"|(?P<name>[A-Za-z_][A-Za-z_\-]{1,30})[\"']?[ ]?(?::=|=>|=|:)[ ]?[\"']?(?P<value>[A-Za-z0-9+/_.~\-]{8,}={0,2})"
+    r"|(?P<run>(?<![A-Za-z0-9])[A-Za-z0-9+/_.\-]{16,}={0,2})"
 )
+_DIGIT, _UPPER, _LOWER = re.compile(r"[0-9]"), re.compile(r"[A-Z]"), re.compile(r"[a-z]")
+#: Characters beside the known formats in it from which a value is a candidate of its own.
+REST = 8
+
+
+def formats(text: str) -> list[tuple[int, int, str]]:
+    """start, end, kind of every match of a known format, wherever it stands."""
+    return sorted((m.start(), m.end(), name) for name, form in FORMATS if any(x in text for x in MARKS[name]) for m in form.finditer(text))
 
 
 def candidates(text: str) -> Iterator[tuple[int, str, str, str, str]]:
-    """start, value, kind, text before, text after, of each candidate."""
+    """start, value, kind, text before, text after, of each candidate: all known formats, then assigned values and mixed runs."""
+    known = formats(text)
+    for start, end, kind in known:
+        yield start, text[start:end], kind, text[max(0, start - 60) : start], text[end : end + 40]
+    at = 0
     for m in _CANDIDATE.finditer(text):
-        group = "head" if m.group("head") else "value" if m.group("value") else "run"
-        value, start = m.group(group), m.start(group)
-        kind = "private_key" if group == "head" else "assigned" if group == "value" else "opaque"
-        for name, form in FORMATS:
-            if (f := form.search(value)) is not None:
-                kind, start, value = name, start + f.start(), f.group()
-                break
-        if kind == "assigned" and not (any(c.isdigit() for c in value) or m.group("name").lower() in FOR):
+        if m.group("head"):
+            continue
+        group = "value" if m.group("value") else "run"
+        value, start, end = m.group(group), m.start(group), m.end(group)
+        while at < len(known) and known[at][1] <= start:
+            at += 1
+        rest, upto, i = 0, start, at
+        while i < len(known) and known[i][0] < end:
+            rest += max(0, known[i][0] - upto)
+            upto = max(upto, known[i][1])
+            i += 1
+        if i > at and rest + max(0, end - upto) < REST:
+            continue
+        if group == "run" and not _DIGIT.search(value) and not (_UPPER.search(value) and _LOWER.search(value)):
             continue
-        yield start, value, kind, text[max(0, m.start() - 60) : start], text[m.end() : m.end() + 40]
+        yield start, value, "assigned" if group == "value" else "opaque", text[max(0, m.start() - 60) : start], text[end : end + 40]
 
 
-_LEFT, _RIGHT = re.compile(r"[A-Za-z0-9]+"), re.compile(r"[A-Za-z0-9]+")
+# Words in parts: db_password and dbPassword are two each.
+_LEFT = _RIGHT = re.compile(r"[A-Z]+(?![a-z])[0-9]*|[A-Z]?[a-z]+[0-9]*|[0-9]+")
 NAMES = [
     "length", "digits", "upper", "lower", "marks", "entropy", "changes", "repeats", "pairs", "vowel_turns", "covered", "longest_word",
     "path_like", "dots", "hex", "shape_key", "before_for", "before_against", "after_against", "assigned", "quoted", "digits_only",
@@ -94,7 +115,7 @@ def features(value: str, kind: str, before: str, after: str, path: str, words: f
             i += 1
     left = [w.lower() for w in _LEFT.findall(before)][-3:]
     right = [w.lower() for w in _RIGHT.findall(after)][:2]
-    beside = {x for w in left for x in (w, *w.split("_"))}
+    beside = set(left)
     vowel = [c in "aeiou" for c in low]
     return [
         float(n), classes.count(0) / n, classes.count(1) / n, classes.count(2) / n, classes.count(3) / n,
@@ -194,8 +215,8 @@ def synthetic_findings(n: int = 6000, seed: int = 10, words: list[str] | None =
     draw = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     text = lambda k: " ".join(rng.choice(words) for _ in range(k))
     path = lambda: rng.choice(["src/app.py", "config/settings.yml", "main.go", "deploy/run.sh", "web", "notes.txt", ""])
-    named = lambda names: f"{text(4)} {rng.choice(names)}{rng.choice([' = ', '=', ': '])}{rng.choice(['', chr(34), chr(39)])}"
-    secret = ["token", "password", "secret", "api_key", "auth_token", "pwd", "key"]
+    named = lambda names: f"{text(4)} {rng.choice(names)}{rng.choice([' = ', '=', ': ', chr(34) + ': '])}{rng.choice(['', chr(34), chr(39)])}"
+    secret = ["token", "password", "secret", "api_key", "auth_token", "pwd", "key", "db_password", "clientSecret"]
     good = [
         lambda: ("AKIA" + draw(string.ascii_uppercase + string.digits, 16), "aws_access_key", text(5) + " ", path()),
         lambda: ("ghp_" + draw(letters, 36), "github_token", rng.choice([text(5) + " ", named(secret)]), path()),
@@ -204,6 +225,7 @@ def synthetic_findings(n: int = 6000, seed: int = 10, words: list[str] | None =
         lambda: ("-----BEGIN RSA PRIVATE KEY-----", "private_key", text(2) + "\n", path()),
         lambda: (draw(hexa, rng.choice([16, 18, 24, 32, 40, 64])), "assigned", named(secret), path()),
         lambda: (draw(letters + "+/_-", rng.randint(12, 48)), "assigned", named(secret), path()),
+        lambda: (rng.choice([draw(string.ascii_lowercase, rng.randint(10, 24)), draw(string.ascii_letters, rng.randint(10, 40)), "".join(rng.choice(words) for _ in range(rng.randint(3, 5)))]), "assigned", named(secret), path()),
         lambda: (draw(letters, rng.randint(24, 48)), "opaque", f"{text(3)} {rng.choice(['bearer', 'secret', 'token', 'password'])} ", path()),
     ]
     bad = [
@@ -216,6 +238,9 @@ def synthetic_findings(n: int = 6000, seed: int = 10, words: list[str] | None =
         lambda: (rng.choice(words) + "".join(rng.choice(words) for _ in range(3)) + str(rng.randint(0, 999)), "opaque", text(4) + " ", path()),
         lambda: (rng.choice(["your_password_here", "changeme123", "xxxxxxxxxxxxxxxx1", "example-token-1", "password123example"]), "assigned", named(secret), path()),
         lambda: (f"{rng.choice(words)}.{rng.randint(10, 99)}", "assigned", named(["file", "name", "version", "title", "url"]), path()),
+        lambda: (rng.choice([rng.choice(words), "-".join(rng.choice(words) for _ in range(3)), "".join(rng.choice(words).title() for _ in range(2))]), "assigned", named(["note", "file", "name", "title", "see", "summary", "module", rng.choice(words)]), path()),
+        lambda: ("".join(rng.choice(words).title() for _ in range(rng.randint(3, 4))), "opaque", text(4) + " ", path()),
+        lambda: ("//www." + rng.choice(words) + ".com/" + "/".join(rng.choice(words) for _ in range(rng.randint(0, 3))), "assigned", f"{text(4)} {rng.choice(['http:', 'https:', 'url: ', 'file:'])}", path()),
         lambda: (f"20{rng.randint(10, 29)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", "assigned", named(["date", "order", "id", "updated"]), path()),
         lambda: (f"{rng.choice(words)}.{rng.randint(10, 99)}", "opaque", text(4) + " ", path()),
         lambda: (rng.choice(words) + "_" + rng.choice(words) + "_" + str(rng.randint(1, 9)) * rng.randint(1, 3), "opaque", text(3) + " ", "tests/fixtures/sample.py"),
