@@ -52,3 +52,8 @@ def test_a_single_candidate_two_imports_away_is_accepted(spark, tmp_path):
     assert got["2/b"] == ("2", "import_narrowed", None) and got["2/c"] == ("3", "import_narrowed", None)
     assert got["4/d"] == (None, None, "unique_without_provenance")
     assert {r.bucket: r.sites for r in QUERIES["X1_rejected_buckets"](spark, str(tmp_path)).collect()} == {"weak_static_evidence": 1, "total": 1}
+
+
+def test_unique_names_are_unique_in_the_whole_table(spark, tmp_path):
+    write(spark, str(tmp_path), [(19, "many", "A"), (20, "many", "A"), (21, "one", "A"), (40, "twenty", "A")], [(1, 19, 1.0)])
+    assert {tuple(r) for r in QUERIES["J19_unique_names"](spark, str(tmp_path)).collect()} == {("one", 21), ("twenty", 40)}
