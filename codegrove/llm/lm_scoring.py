@@ -3,8 +3,8 @@
 The model predicts word classes: the most frequent words are classes of their own, every other word belongs to
 one of a fixed number of tail classes by its ending, and the end of a text is a class. A context of two
 classes gives a predicted vector (their vectors times one matrix per position); a class scores its
-product with that vector plus a bias. Training runs on the counts of all class triples of all training
-texts. For scoring, one batched matrix product gives every context's scores, which are normalised over
+product with that vector plus a bias. Training makes STEPS x BATCH random draws from the counts of all class
+triples of all training texts, a fixed number whatever the corpus. For scoring, one batched matrix product gives every context's scores, which are normalised over
 all classes; a word of a tail class has its share of the class by its smoothed training count, unseen words together one more.
 So token probabilities are normalised over an open vocabulary.
 
