@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows a lookup may have to be broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -18,3 +22,8 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{where.rstrip('/')}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored lookup, marked for broadcast only if its counted rows are within the bound."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codegrove.operators import graph as G
 from codegrove.operators import resolution as R
+from codegrove.plans.callsites import CallSites
 from codegrove.plans.registry import query
 
 C = F.col
@@ -71,7 +72,8 @@ def gate(g):
 
 @query("C7_strict_gate", _GATE_ROWS)
 def c7(g):
-    return gate(g)
+    calls = CallSites(g)
+    return calls.each(calls.decisions.select("site", "accepted", "provenance", "dropped_reason", "candidate_count", "in_scope_count"))
 
 
 @query("A20_resolution_stats", _GATE + "SELECT CASE WHEN o LIKE '+%' THEN substr(o, 2) END AS provenance, CASE WHEN o NOT LIKE '+%' THEN o END AS dropped_reason, count(*) AS sites FROM r GROUP BY 1, 2")
