@@ -78,7 +78,7 @@ def c7(g):
 
 @query("A20_resolution_stats", _GATE + "SELECT CASE WHEN o LIKE '+%' THEN substr(o, 2) END AS provenance, CASE WHEN o NOT LIKE '+%' THEN o END AS dropped_reason, count(*) AS sites FROM r GROUP BY 1, 2")
 def a20_stats(g):
-    return gate(g).groupBy("provenance", "dropped_reason").agg(F.count("*").alias("sites"))
+    return CallSites(g).decisions.groupBy("provenance", "dropped_reason").agg(F.sum("sites").alias("sites"))
 
 
 @query("C15_persistence_gate", _GATE + "SELECT site, o LIKE '+%' AS persist, CASE WHEN o LIKE '+%' THEN 'accepted' WHEN o = 'no_candidates' THEN 'external' ELSE 'unresolved' END AS gate_reason FROM r")
