@@ -84,7 +84,8 @@ def a20_stats(g):
 @query("C15_persistence_gate", _GATE + "SELECT site, o LIKE '+%' AS persist, CASE WHEN o LIKE '+%' THEN 'accepted' WHEN o = 'no_candidates' THEN 'external' ELSE 'unresolved' END AS gate_reason FROM r")
 def c15(g):
     d = C("dropped_reason")
-    return gate(g).select("site", d.isNull().alias("persist"), F.when(d.isNull(), "accepted").when(d == "no_candidates", "external").otherwise("unresolved").alias("gate_reason"))
+    calls = CallSites(g)
+    return calls.each(calls.decisions).select("site", d.isNull().alias("persist"), F.when(d.isNull(), "accepted").when(d == "no_candidates", "external").otherwise("unresolved").alias("gate_reason"))
 
 
 @query("C1_normalised_identifiers", f"WITH {_SITES}, f AS (SELECT caller_module, regexp_extract(identifier, '[^.]*$') AS t, min(identifier) AS form FROM s WHERE contains(identifier, '.') GROUP BY 1, 2 HAVING count(DISTINCT identifier) = 1) SELECT site, CASE WHEN contains(identifier, '.') THEN identifier ELSE coalesce(form, identifier) END AS normalised FROM s LEFT JOIN f ON s.caller_module = f.caller_module AND regexp_extract(identifier, '[^.]*$') = t")
