@@ -108,8 +108,7 @@ def c17(g):
 
 @query("X1_rejected_buckets", _GATE + "SELECT coalesce(bucket, 'total') AS bucket, count(*) AS sites FROM (SELECT CASE WHEN o = 'no_candidates' AND contains(identifier, '.') THEN 'external_dotted' WHEN o = 'no_candidates' THEN 'external_plain' WHEN o LIKE 'ambiguous%' THEN 'ambiguous' ELSE 'weak_static_evidence' END AS bucket FROM r WHERE o NOT LIKE '+%') x GROUP BY ROLLUP (bucket)")
 def x1(g):
-    s, cands, scopes = _inputs(g)
     d = C("dropped_reason")
-    rows = R.strict_gate(s, cands, scopes, distances(scopes)).filter(d.isNotNull()).join(s.select("site", "identifier"), "site")
+    rows = CallSites(g).decisions.filter(d.isNotNull())
     bucket = F.when((d == "no_candidates") & C("identifier").contains("."), "external_dotted").when(d == "no_candidates", "external_plain").when(d.startswith("ambiguous"), "ambiguous").otherwise("weak_static_evidence")
-    return rows.rollup(bucket.alias("bucket")).agg(F.count("*").alias("sites")).select(F.coalesce("bucket", F.lit("total")).alias("bucket"), "sites")
+    return rows.rollup(bucket.alias("bucket")).agg(F.sum("sites").alias("sites")).select(F.coalesce("bucket", F.lit("total")).alias("bucket"), "sites")
