@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codegrove.operators import diagnostics as X
 from codegrove.operators import resolution as R
 from codegrove.plans.calls import _GATE, _SITES, _inputs, distances, gate
+from codegrove.plans.callsites import CallSites
 from codegrove.plans.registry import query
 
 C = F.col
@@ -28,8 +29,9 @@ def w4(g):
 
 @query("W5_best_by_distance", _SITES_R + _FAR + "SELECT * FROM best")
 def w5(g):
-    s, cands, scopes = _inputs(g)
-    return R.best_by_distance(cands.join(s.select("site", "caller_module"), "site"), distances(scopes))
+    calls = CallSites(g)
+    c = calls.candidates.join(calls.keys.select("site", "caller_module"), "site")
+    return calls.each(R.best_by_distance(c, calls.distances))
 
 
 @query(
