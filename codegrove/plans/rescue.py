@@ -41,8 +41,8 @@ def w5(g):
     CASE WHEN o NOT LIKE '+%' AND NOT (o LIKE 'ambiguous%' AND distance IS NOT NULL) THEN o END AS dropped_reason, o LIKE 'ambiguous%' AND distance IS NOT NULL AS rescued FROM r LEFT JOIN best ON r.site = best.site""",
 )
 def c13(g):
-    s, cands, scopes = _inputs(g)
-    return R.rescue(gate(g), s, cands, distances(scopes))
+    calls = CallSites(g)
+    return calls.each(R.rescue(calls.decisions, calls.keys, calls.candidates, calls.distances))
 
 
 _TAILS = [".then", ".finally", ".map", ".server.run", ".index.go", ".Type.make"]
