@@ -53,19 +53,19 @@ WHEN regexp_matches(identifier, '[.](server|notifications|tools)[.]') THEN 'name
 WHEN reason = 'unique_without_provenance' AND contains(identifier, '.index.') THEN 'runtime_composed_surface_shape' WHEN n = 0 THEN 'no_in_repo_callable_target' ELSE 'unclassified_persisted_drop' END AS bucket FROM ({_NAMED}) z)"""
 
 
-def _rejected(g):
-    """Rejected sites with identifiers of many forms; modules with a 3 in their name stand for fixtures."""
-    s, _, _ = _inputs(g)
+def _rejected(calls):
+    """Rejected keys with identifiers of many forms; modules with a 3 in their name stand for fixtures."""
     name = C("identifier")
     tail = F.lit("")
     for i, t in enumerate(_TAILS):
         tail = F.when(F.length(name) % 7 == i, t).otherwise(tail)
-    rows = gate(g).filter("dropped_reason is not null").join(s, "site")
-    return rows.select("site", F.concat(name, tail).alias("identifier"), C("caller_module").contains("3").alias("fixture"), C("dropped_reason").alias("reason"), C("candidate_count").alias("n"))
+    rows = calls.decisions.filter("dropped_reason is not null")
+    return rows.select("site", "sites", F.concat(name, tail).alias("identifier"), C("caller_module").contains("3").alias("fixture"), C("dropped_reason").alias("reason"), C("candidate_count").alias("n"))
 
 
-def _bucketed(g):
-    return _rejected(g).withColumn("bucket", X.drop_bucket(C("identifier"), C("fixture"), C("reason"), C("n")))
+def _bucketed(calls):
+    rows = _rejected(calls).withColumn("bucket", X.drop_bucket(C("identifier"), C("fixture"), C("reason"), C("n")))
+    return rows.withColumn("public_bucket", X.public_bucket(C("bucket"), C("reason")))
 
 
 _PUBLIC = "CASE WHEN bucket IN ('namespace_or_module_object_miss_shape', 'no_in_repo_callable_target', 'unclassified_persisted_drop') THEN 'insufficient_static_evidence' ELSE 'outside_static_contract' END"
@@ -73,13 +73,14 @@ _PUBLIC = "CASE WHEN bucket IN ('namespace_or_module_object_miss_shape', 'no_in_
 
 @query("X7_drop_buckets", _GATE + f"SELECT site, identifier, bucket, {_PUBLIC} AS public_bucket FROM {_BUCKETS} y")
 def x7(g):
-    return _bucketed(g).select("site", "identifier", "bucket", X.public_bucket(C("bucket"), C("reason")).alias("public_bucket"))
+    calls = CallSites(g)
+    return calls.each(_bucketed(calls).select("site", "identifier", "bucket", "public_bucket"))
 
 
 @query("E15_public_bucket_totals", _GATE + f"SELECT fixture, public_bucket, count(*) AS sites FROM (SELECT *, {_PUBLIC} AS public_bucket FROM {_BUCKETS} y) x GROUP BY GROUPING SETS ((fixture, public_bucket), (public_bucket), ())")
 def e15(g):
-    rows = _bucketed(g).withColumn("public_bucket", X.public_bucket(C("bucket"), C("reason")))
-    return rows.groupingSets([["fixture", "public_bucket"], ["public_bucket"], []], "fixture", "public_bucket").agg(F.count("*").alias("sites"))
+    calls = CallSites(g)
+    return calls.each(_bucketed(calls)).groupingSets([["fixture", "public_bucket"], ["public_bucket"], []], "fixture", "public_bucket").agg(F.count("*").alias("sites"))
 
 
 @query("X5_name_signals", _GATE + f"""SELECT site, array_to_string(list_sort(list_filter([CASE WHEN true THEN 'identifier_depth:' || len(p) END,
@@ -87,7 +88,8 @@ CASE WHEN contains(identifier, '.') THEN 'qualified_identifier' ELSE 'terminal_i
 CASE WHEN len(p) >= 2 THEN CASE WHEN regexp_matches(p[-2], '^[A-Z]') THEN 'owner_segment:type_like' ELSE 'owner_segment:value_like' END END], lambda x: x IS NOT NULL)), '|') AS signals
 FROM (SELECT *, string_split(identifier, '.') AS p FROM ({_NAMED}) z) y""")
 def x5(g):
-    return _rejected(g).select("site", F.array_join(X.name_signals(C("identifier")), "|").alias("signals"))
+    calls = CallSites(g)
+    return calls.each(_rejected(calls)).select("site", F.array_join(X.name_signals(C("identifier")), "|").alias("signals"))
 
 
 @query("E22_callsite_funnel", _GATE + "SELECT contains(caller_module, '3') AS fixture, count(*) AS observed, count(*) FILTER (WHERE o LIKE '+%') AS accepted, count(*) FILTER (WHERE o NOT LIKE '+%') AS not_accepted FROM r GROUP BY ROLLUP (contains(caller_module, '3'))")
