@@ -79,8 +79,8 @@ def x7(g):
 
 @query("E15_public_bucket_totals", _GATE + f"SELECT fixture, public_bucket, count(*) AS sites FROM (SELECT *, {_PUBLIC} AS public_bucket FROM {_BUCKETS} y) x GROUP BY GROUPING SETS ((fixture, public_bucket), (public_bucket), ())")
 def e15(g):
-    calls = CallSites(g)
-    return calls.each(_bucketed(calls)).groupingSets([["fixture", "public_bucket"], ["public_bucket"], []], "fixture", "public_bucket").agg(F.count("*").alias("sites"))
+    rows = _bucketed(CallSites(g)).select("fixture", "public_bucket", "sites")
+    return rows.groupingSets([["fixture", "public_bucket"], ["public_bucket"], []], "fixture", "public_bucket").agg(F.sum("sites").alias("sites"))
 
 
 @query("X5_name_signals", _GATE + f"""SELECT site, array_to_string(list_sort(list_filter([CASE WHEN true THEN 'identifier_depth:' || len(p) END,
