@@ -89,7 +89,7 @@ CASE WHEN len(p) >= 2 THEN CASE WHEN regexp_matches(p[-2], '^[A-Z]') THEN 'owner
 FROM (SELECT *, string_split(identifier, '.') AS p FROM ({_NAMED}) z) y""")
 def x5(g):
     calls = CallSites(g)
-    return calls.each(_rejected(calls)).select("site", F.array_join(X.name_signals(C("identifier")), "|").alias("signals"))
+    return calls.each(_rejected(calls).select("site", F.array_join(X.name_signals(C("identifier")), "|").alias("signals")))
 
 
 @query("E22_callsite_funnel", _GATE + "SELECT contains(caller_module, '3') AS fixture, count(*) AS observed, count(*) FILTER (WHERE o LIKE '+%') AS accepted, count(*) FILTER (WHERE o NOT LIKE '+%') AS not_accepted FROM r GROUP BY ROLLUP (contains(caller_module, '3'))")
