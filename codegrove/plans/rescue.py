@@ -94,9 +94,9 @@ def x5(g):
 
 @query("E22_callsite_funnel", _GATE + "SELECT contains(caller_module, '3') AS fixture, count(*) AS observed, count(*) FILTER (WHERE o LIKE '+%') AS accepted, count(*) FILTER (WHERE o NOT LIKE '+%') AS not_accepted FROM r GROUP BY ROLLUP (contains(caller_module, '3'))")
 def e22(g):
-    s, _, _ = _inputs(g)
-    ok = C("accepted").isNotNull()
-    return gate(g).join(s.select("site", "caller_module"), "site").rollup(C("caller_module").contains("3").alias("fixture")).agg(F.count("*").alias("observed"), F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("not_accepted"))
+    ok, n = C("accepted").isNotNull(), C("sites")
+    of = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
+    return CallSites(g).decisions.rollup(C("caller_module").contains("3").alias("fixture")).agg(F.coalesce(F.sum(n), F.lit(0)).alias("observed"), of(ok).alias("accepted"), of(~ok).alias("not_accepted"))
 
 
 @query("E11_drop_counters", _GATE + "SELECT caller_module, o AS dropped_reason, count(*) AS sites, CAST(sum(n) AS BIGINT) AS candidates, CAST(sum(nr) AS BIGINT) AS in_scope FROM r WHERE o NOT LIKE '+%' GROUP BY 1, 2")
