@@ -101,6 +101,6 @@ def e22(g):
 
 @query("E11_drop_counters", _GATE + "SELECT caller_module, o AS dropped_reason, count(*) AS sites, CAST(sum(n) AS BIGINT) AS candidates, CAST(sum(nr) AS BIGINT) AS in_scope FROM r WHERE o NOT LIKE '+%' GROUP BY 1, 2")
 def e11(g):
-    s, _, _ = _inputs(g)
-    rows = gate(g).filter("dropped_reason is not null").join(s.select("site", "caller_module"), "site")
-    return rows.groupBy("caller_module", "dropped_reason").agg(F.count("*").alias("sites"), F.sum("candidate_count").alias("candidates"), F.sum("in_scope_count").alias("in_scope"))
+    rows = CallSites(g).decisions.filter("dropped_reason is not null")
+    times = lambda col: F.sum(C(col) * C("sites"))
+    return rows.groupBy("caller_module", "dropped_reason").agg(F.sum("sites").alias("sites"), times("candidate_count").alias("candidates"), times("in_scope_count").alias("in_scope"))
