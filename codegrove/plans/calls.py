@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codegrove.operators import graph as G
 from codegrove.operators import resolution as R
 from codegrove.plans.callsites import CallSites
 from codegrove.plans.registry import query
@@ -23,26 +22,6 @@ c AS (SELECT DISTINCT s.site, s.identifier, s.caller_module, CAST(p_partkey AS V
 d AS (SELECT DISTINCT 'root.' || h.brand AS caller_module, 'root.' || p_brand AS module FROM lineitem JOIN part ON l_partkey = p_partkey JOIN home h USING (l_suppkey) WHERE l_quantity >= 50 AND l_partkey % 20 = 0)"""
 
 
-def _inputs(g):
-    """Sites, candidates and direct scopes over all rows. The n parts of a name and brand are one candidate row with
-    their smallest key; the queries count and order them alike. _SITES still has the id filters these no longer have.
-    """
-    li = g.lineitem.select("l_suppkey", "l_partkey", "l_quantity").join(g.part.select(C("p_partkey").alias("l_partkey"), "p_name", "p_brand"), "l_partkey")
-    sites = li.select("l_suppkey", "p_name").distinct()
-    home = li.groupBy("l_suppkey", "p_brand").agg(F.count("*").alias("n")).groupBy("l_suppkey").agg(F.max(F.struct("n", "p_brand")).alias("b")).select("l_suppkey", C("b.p_brand").alias("brand"))
-    root = lambda c: F.concat(F.lit("root."), c)
-    s = sites.join(home, "l_suppkey").select(
-        F.concat_ws("/", C("l_suppkey").cast("string"), "p_name").alias("site"),
-        F.when(C("l_suppkey") % 2 == 0, C("p_name")).otherwise(F.concat(root(C("brand")), F.lit("."), C("p_name"))).alias("identifier"),
-        root(C("brand")).alias("caller_module"), "p_name",
-    )
-    parts = g.part.groupBy("p_name", "p_brand").agg(F.min(C("p_partkey").cast("string")).alias("candidate"), F.count_distinct("p_partkey").alias("n"))
-    parts = parts.select("p_name", "candidate", "n", F.concat(root(C("p_brand")), F.lit("."), C("p_name")).alias("name"), root(C("p_brand")).alias("module"))
-    cands = s.select("site", "p_name").join(parts, "p_name").select("site", "candidate", "n", "name", "module", F.lit(False).alias("direct"))
-    scopes = li.filter("l_quantity >= 50").join(home, "l_suppkey").select(root(C("brand")).alias("caller_module"), root(C("p_brand")).alias("module")).distinct()
-    return s.drop("p_name"), cands, scopes
-
-
 _GATE = f"""WITH {_SITES},
 k AS (SELECT s.site, s.identifier, s.caller_module, candidate, name, c.module, contains(s.identifier, '.') AND name = s.identifier AS named,
       coalesce(c.module = s.caller_module OR c.module = 'root' OR d.module IS NOT NULL, false) AND candidate IS NOT NULL AS near
@@ -59,17 +38,6 @@ _GATE_ROWS = _GATE + """SELECT site, CASE WHEN o NOT LIKE '+%' THEN NULL WHEN nn
 CASE WHEN o LIKE '+%' THEN substr(o, 2) END AS provenance, CASE WHEN o NOT LIKE '+%' THEN o END AS dropped_reason, n AS candidate_count, nr AS in_scope_count FROM r"""
 
 
-def distances(scopes):
-    """caller_module, module, distance of all modules reached over one import or more."""
-    far = G.closure(scopes.select(C("caller_module").alias("src"), C("module").alias("dst")))
-    return far.select(C("src").alias("caller_module"), C("dst").alias("module"), "distance")
-
-
-def gate(g):
-    s, cands, scopes = _inputs(g)
-    return R.strict_gate(s, cands, scopes, distances(scopes))
-
-
 @query("C7_strict_gate", _GATE_ROWS)
 def c7(g):
     calls = CallSites(g)
@@ -90,20 +58,19 @@ def c15(g):
 
 @query("C1_normalised_identifiers", f"WITH {_SITES}, f AS (SELECT caller_module, regexp_extract(identifier, '[^.]*$') AS t, min(identifier) AS form FROM s WHERE contains(identifier, '.') GROUP BY 1, 2 HAVING count(DISTINCT identifier) = 1) SELECT site, CASE WHEN contains(identifier, '.') THEN identifier ELSE coalesce(form, identifier) END AS normalised FROM s LEFT JOIN f ON s.caller_module = f.caller_module AND regexp_extract(identifier, '[^.]*$') = t")
 def c1(g):
-    s, _, _ = _inputs(g)
-    return R.normalise_identifiers(s, ["caller_module"]).select("site", "normalised")
+    calls = CallSites(g)
+    return calls.each(R.normalise_identifiers(calls.keys, ["caller_module"]).select("site", "normalised"))
 
 
 @query("C2_caller_records", f"WITH {_SITES} SELECT caller_module, string_agg(DISTINCT identifier, '|' ORDER BY identifier) AS identifiers FROM s GROUP BY caller_module")
 def c2(g):
-    s, _, _ = _inputs(g)
-    return s.groupBy("caller_module").agg(F.array_join(F.array_sort(F.collect_set("identifier")), "|").alias("identifiers"))
+    return CallSites(g).keys.groupBy("caller_module").agg(F.array_join(F.array_sort(F.collect_set("identifier")), "|").alias("identifiers"))
 
 
 @query("C17_callsite_pairs", f"WITH {_SITES} SELECT site, count(*) AS pairs, min(candidate) AS first_callee FROM c GROUP BY site")
 def c17(g):
-    _, cands, _ = _inputs(g)
-    return cands.groupBy("site").agg(F.sum("n").alias("pairs"), F.min("candidate").alias("first_callee"))
+    calls = CallSites(g)
+    return calls.each(calls.candidates.groupBy("site").agg(F.sum("n").alias("pairs"), F.min("candidate").alias("first_callee")))
 
 
 @query("X1_rejected_buckets", _GATE + "SELECT coalesce(bucket, 'total') AS bucket, count(*) AS sites FROM (SELECT CASE WHEN o = 'no_candidates' AND contains(identifier, '.') THEN 'external_dotted' WHEN o = 'no_candidates' THEN 'external_plain' WHEN o LIKE 'ambiguous%' THEN 'ambiguous' ELSE 'weak_static_evidence' END AS bucket FROM r WHERE o NOT LIKE '+%') x GROUP BY ROLLUP (bucket)")

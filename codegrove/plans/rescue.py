@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codegrove.operators import diagnostics as X
 from codegrove.operators import resolution as R
-from codegrove.plans.calls import _GATE, _SITES, _inputs, distances, gate
+from codegrove.plans.calls import _GATE, _SITES
 from codegrove.plans.callsites import CallSites
 from codegrove.plans.registry import query
 
@@ -24,7 +24,8 @@ _GATE_R = _GATE.replace("WITH sites", "WITH RECURSIVE sites", 1)
 
 @query("W4_best_by_module_path", f"WITH {_SITES} SELECT site, candidate AS best FROM c QUALIFY row_number() OVER (PARTITION BY site ORDER BY len(string_split(module, '.')), module, name, candidate) = 1")
 def w4(g):
-    return R.best_by_path(_inputs(g)[1])
+    calls = CallSites(g)
+    return calls.each(R.best_by_path(calls.candidates))
 
 
 @query("W5_best_by_distance", _SITES_R + _FAR + "SELECT * FROM best")
