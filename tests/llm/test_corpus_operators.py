@@ -281,6 +281,44 @@ def test_exact_dedup(docs, data, empty):
         assert exact_dedup(empty, keep=keep).collect() == []
 
 
+def test_exact_dedup_keeps_one_row_a_group_when_splits_change(spark, tmp_path):
+    """Reads at another parallelism deal stored files into other splits; row numbers must not depend on that."""
+    texts = [f"text {i % 40}" for i in range(400)]
+    spark.createDataFrame([(i % 7 if i % 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(16).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+        for keep in (["doc_id"], None):
+            for call, read in (("16", "3"), ("3", "16")):
+                spark.conf.set("spark.sql.leafNodeDefaultParallelism", call)
+                out = exact_dedup(docs, keep=keep)
+                spark.conf.set("spark.sql.leafNodeDefaultParallelism", read)
+                per = out.groupBy("text_sha256").agg(F.count_if("kept").alias("kept"), F.count("*").alias("n"), F.max("group_size").alias("size")).collect()
+                assert len(per) == 40 and all(r["kept"] == 1 and r["n"] == r["size"] for r in per)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_exact_dedup_in_slices_equals_one_filter(docs):
+    for keep in (["doc_id"], None):
+        whole, sliced = (sorted(map(str, exact_dedup(docs, keep=keep, most_bits=b).drop("kept").collect())) for b in (1 << 20, 1 << 9))
+        assert whole == sliced
+
+
+def test_the_filter_lets_few_unique_texts_through(spark):
+    from codegrove.llm.exact_dedup import BITS_PER_ROW, _is_set, _slot, repeated_filter
+
+    n = 4096
+    hashes = spark.range(n).select(F.xxhash64(F.col("id").cast("string")).alias("_h"))
+    hashes = hashes.unionByName(hashes.limit(10))
+    bits = BITS_PER_ROW * n
+    words = repeated_filter(hashes, bits).first()["words"]
+    set_ = hashes.filter(_is_set(F.array(*map(F.lit, words)), _slot(F.col("_h"), bits)))
+    assert 20 <= set_.count() < n // 8
+
+
 def test_mixing(docs, data, empty):
     sized = docs.select("doc_id", mixing.text_size(F.col("text")).alias("size"), F.array("source").alias("sources"))
     got = mixing.mix_sources(sized).collect()
