@@ -31,10 +31,20 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A name beginning with `name` that no column has, whatever its case."""
+    low = [c.lower() for c in taken]
+    while any(c.startswith(name.lower()) for c in low):
+        name = "_" + name
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a temporary one, and only in local mode, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not (spark.sparkContext.master or "").startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="codegrove-")
         spark.conf.set("spark.checkpoint.dir", where)
         local = where.removeprefix("file://")

@@ -62,16 +62,16 @@ def _sliced(rows: DataFrame, slices: int) -> list[DataFrame]:
     return [back.filter(F.col("_slice") == s).drop("_slice") for s in range(slices)]
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, wide: bool | None = None, most_bits: int = MOST_BITS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, wide: bool | None = None, most_bits: int = MOST_BITS, prefix: str = "") -> DataFrame:
     """Rows of docs (columns `keep`, all by default) with keep_id, group_size, kept, text_sha256.
 
     Of equal normalised texts the row with the smallest id stays; a null id comes last, and of rows
     that repeat the id as well exactly one stays. Null texts equal empty ones. All rows are
     returned, dropped ones too. An empty table gives an empty result. Columns of docs that have a
     name of the result's are replaced by it. wide: the kept columns hold whole texts, so rows are read
-    twice rather than written (by default where text_col is kept). most_bits, a power of two, bounds one filter.
+    twice rather than written (by default where text_col is kept). most_bits, a power of two, bounds one filter. prefix begins the names of the result's columns.
     """
-    made = ["keep_id", "group_size", "kept", "text_sha256"]
+    made = [prefix + c for c in ("keep_id", "group_size", "kept", "text_sha256")]
     columns = [c for c in (docs.columns if keep is None else keep) if c not in made]
     n = docs.count()
     # kept columns travel as one struct, so that their names meet no others
@@ -90,13 +90,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for part in _sliced(rows, slices):
         words = store(repeated_filter(part.select("_h"), bits), "bits").scalar()
         seen = _is_set(words, _slot(F.col("_h"), bits))
-        once = part.filter(~seen).select("_all.*", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), sha.alias("text_sha256"))
+        once = part.filter(~seen).select("_all.*", *(x.alias(c) for x, c in zip((F.col("_id"), F.lit(1).cast("long"), F.lit(True), sha), made)))
         # rows are numbered as they are written: a later read may split the files otherwise, and would number them otherwise
         maybe = store(part.filter(seen).select("_all", "_id", sha.alias("_sha"), F.monotonically_increasing_id().alias("_row")), "repeated")
         first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row"))
         groups = store(maybe.groupBy("_sha").agg(first.alias("_first"), F.count("*").alias("_size")), "groups")
         joined = maybe.join(groups, "_sha")
-        many = joined.select("_all.*", F.col("_first._id").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_row") == F.col("_first._row")).alias("kept"), F.col("_sha").alias("text_sha256"))
+        many = joined.select("_all.*", *(x.alias(c) for x, c in zip((F.col("_first._id"), F.col("_size"), F.col("_row") == F.col("_first._row"), F.col("_sha")), made)))
         both = once.unionByName(many)
         out = both if out is None else out.unionByName(both)
     return out

@@ -191,7 +191,7 @@ def viterbi(lengths: np.ndarray, index: np.ndarray, table: np.ndarray, penalty:
     return out
 
 
-def _spans(model, penalty: float):
+def _spans(model, penalty: float, spans_col: str = "spans"):
     schema = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("letters", pa.int64()), ("confidence", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,22 +246,22 @@ def _spans(model, penalty: float):
                     found += label(texts[at : i + 1], split[at : i + 1])
                     at, words = i + 1, 0
             found += label(texts[at:], split[at:])
-            yield pa.record_batch([*batch.columns[1:], pa.array(found, schema)], names=[*batch.schema.names[1:], "spans"])
+            yield pa.record_batch([*batch.columns[1:], pa.array(found, schema)], names=[*batch.schema.names[1:], spans_col])
 
     return run
 
 
-def label_spans(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
+def label_spans(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", penalty: float = PENALTY, spans_col: str = "spans") -> DataFrame:
     """The columns `keep` of each row, and spans: array of (start, end: characters; lang; letters; confidence).
 
     A null or empty text and one without letters has no spans. Repeated rows are each returned, nulls
-    of kept columns stay; an empty table gives an empty result. A column named spans is replaced.
+    of kept columns stay; an empty table gives an empty result. A column named as spans_col is replaced.
     """
-    keep = [c for c in keep if c != "spans"]
+    keep = [c for c in keep if c != spans_col]
     rows = docs.select(F.col(text_col).alias(_TEXT), *keep)
     kind = "array<struct<start:long,end:long,lang:string,letters:long,confidence:double>>"
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"spans {kind}"])
-    return arrow_map(rows, _spans(docs.sparkSession.sparkContext.broadcast(model), penalty), schema)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + [f"`{spans_col}` {kind}"])
+    return arrow_map(rows, _spans(docs.sparkSession.sparkContext.broadcast(model), penalty, spans_col), schema)
 
 
 def summarise(spans: Column, langs: list[str]) -> tuple[Column, Column]:

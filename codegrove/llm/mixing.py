@@ -16,7 +16,7 @@ import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, small, store
+from .common import SPACE_RE, fresh, small, store
 
 #: A document is taken at most this often, and a target is at most this many times its source's size.
 MOST = 3
@@ -103,17 +103,18 @@ def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[float], most
     return [sum(room[e ^ 1] for e in graph[i] if n <= to[e] < n + m) for i in range(n)]
 
 
-def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", size_col: str = "size", sources_col: str = "sources", seed: int = SEED, most: int = MOST, keep: list[str] | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", size_col: str = "size", sources_col: str = "sources", seed: int = SEED, most: int = MOST, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Rows of docs(id, size long, sources array<string>; columns `keep`, all by default) with copies (0..most), source_size and target of the first source.
 
     A source's size counts all documents that belong to it. Sources are ordered by code point, null
     last; without weights they weigh 1, 2, 3, repeating. A null array is membership of the null
     source. Sizes of null count 0. An empty table gives an empty result; repeated rows share their
-    fate, as the choice depends on id, size and sources alone.
+    fate, as the choice depends on id, size and sources alone. prefix begins the names of the columns made;
+    columns of docs that have such a name are replaced.
     """
     spark = docs.sparkSession
     nothing = F.array(F.lit(None).cast("string"))
-    made = ["copies", "source_size", "target"]
+    made = [prefix + c for c in ("source_size", "target", "copies")]
     columns = [c for c in (docs.columns if keep is None else keep) if c not in made]
     whole = docs.select(F.struct(*columns).alias("_all"), F.col(id_col).alias("_id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("_size"), F.array_sort(F.array_distinct(F.coalesce(F.col(sources_col), nothing))).alias("_in"))
     whole = whole.withColumn("_key", F.to_json(F.struct("_in"), {"ignoreNullFields": "false"}))
@@ -149,9 +150,10 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
     edges = store(plan.join(one.select("_key", "edge1"), "_key", "left").join(two, "_key", "left"), "edges")
     more = (F.col("_d1") < F.col("edge1")) | ((F.col("_d1") == F.col("edge1")) & (F.col("_d2") <= F.col("edge2")))
     copies = F.least(F.lit(most).cast("long"), F.col("base") + F.when(more & (F.col("rest") > 0), 1).otherwise(0))
-    return whole.join(small(edges), "_key").select("_all.*", "source_size", "target", copies.alias("copies"))
+    return whole.join(small(edges), "_key").select("_all.*", *(x.alias(c) for x, c in zip((F.col("source_size"), F.col("target"), copies), made)))
 
 
 def repeated(docs: DataFrame, copies: Column) -> DataFrame:
     """Rows as often as copies says (0: none)."""
-    return docs.withColumn("_n", copies).filter("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long")))).drop("_n")
+    n = fresh("_n", docs.columns)
+    return docs.withColumn(n, copies).filter(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long")))).drop(n)

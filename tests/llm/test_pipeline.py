@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codegrove.llm import mixing
@@ -65,6 +66,20 @@ def test_stages(spark, tmp_path):
         kept = got
 
 
+def test_stages_keep_columns_named_like_their_own(spark, tmp_path):
+    """Clashing names, a very long text, null and empty texts, ties and a repeated row."""
+    docs = spark.createDataFrame(rows(), SCHEMA)
+    names = ["spans", "kept", "_words", "copies", "target", "_copy_kept", "_mix_size", "_spans", "keep_id"]
+    for name in names:
+        docs = docs.withColumn(name, F.lit("mine"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.select(*names).distinct().collect()
+        assert [tuple(r) for r in got] == [("mine",) * len(names)], name
+        assert out.filter("length(text) > 100000").count() >= 1, name
+
+
 def test_empty_pipeline(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
