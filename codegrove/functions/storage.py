@@ -13,10 +13,13 @@ BROADCAST_ROWS = 1_000_000
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write df to the folder of spark.checkpoint.dir (a temporary one where it is unset, as in tests) and read it back."""
+    """Write df to the folder of spark.checkpoint.dir and read it back. Where it is unset, a temporary one, and only in local mode, as in tests."""
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="codegrove-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where.rstrip('/')}/step-{uuid.uuid4().hex}"

@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept and returns a
 DataFrame; run() writes each stage's rows to the shared folder and reads them back for the next.
+
+All stages but the last return the columns of their input with their values, whatever the names. Null and empty texts
+have no letter, so the first stage drops them; a null id sorts last where the smallest id stays, and links with nothing by
+id; a null source is a source of its own. Texts of any length are read whole. Rows repeated with their id count as
+copies; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrove.llm.common import small, store
+from codegrove.llm.common import fresh, small, store
 from codegrove.llm.exact_dedup import exact_dedup
 from codegrove.llm.langid import label_spans, learn, summarise, training_rows
 from codegrove.llm.mixing import mix_sources, repeated, text_size
@@ -19,15 +24,16 @@ from codegrove.llm.packing import pack_documents
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a learned language is found; those without a letter go."""
-    model = learn(training_rows(docs))
-    lang, _ = summarise(F.col("spans"), model.langs)
-    return label_spans(docs, model, docs.columns).filter(lang != "und").select(*docs.columns)
+    """Documents in which a learned language is found; those without a letter go. Ties between languages go by name, and all rows of an id are kept."""
+    model, spans = learn(training_rows(docs)), fresh("_spans", docs.columns)
+    lang, _ = summarise(F.col(spans), model.langs)
+    return label_spans(docs, model, docs.columns, spans_col=spans).filter(lang != "und").select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts."""
-    return exact_dedup(docs).filter("kept").select(*docs.columns)
+    """One row of each group of equal texts, the one with the smallest id; of rows that repeat it as well, one."""
+    made = fresh("_copy_", docs.columns)
+    return exact_dedup(docs, prefix=made).filter(F.col(f"{made}kept")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +43,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    sized = docs.withColumn("_words", text_size(F.col("text"))).withColumn("_sources", F.array("source"))
-    return repeated(mix_sources(sized, size_col="_words", sources_col="_sources"), F.col("copies")).select(*docs.columns)
+    """Documents as often as the mix takes them, up to three times; the choice among equals is seeded by id."""
+    made = fresh("_mix_", docs.columns)
+    sized = docs.withColumn(f"{made}size", text_size(F.col("text"))).withColumn(f"{made}in", F.array("source"))
+    return repeated(mix_sources(sized, size_col=f"{made}size", sources_col=f"{made}in", prefix=made), F.col(f"{made}copies")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
