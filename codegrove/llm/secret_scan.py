@@ -46,7 +46,7 @@ AGAINST = ["checksum", "commit", "digest", "etag", "example", "file", "hash", "i
 # Alternatives in order: a whole private key head (a format), an assignment, or a long run.
 _CANDIDATE = re.compile(
     r"(?P<head>-----BEGIN [A-Z ]*PRIVATE KEY-----)"
-    r"|(?P<name>[A-Za-z_][A-Za-z_\-]{1,30})[\"']?[ ]?(?::=|=>|=|:)[ ]?[\"']?(?P<value>[A-Za-z0-9+/_.~\-]{8,}={0,2})"
+    r"|(?P<name>[A-Za-z_][A-Za-z_\-]{1,30})[\"']?[ ]?(?::=|=>|=|:)[ ]?[\"']?(?P<value>[A-Za-z0-9+/_.~@!#$%^&*?\-]{8,}={0,2})"
     r"|(?P<run>(?<![A-Za-z0-9])[A-Za-z0-9+/_.\-]{16,}={0,2})"
 )
 _DIGIT, _UPPER, _LOWER = re.compile(r"[0-9]"), re.compile(r"[A-Z]"), re.compile(r"[a-z]")
@@ -226,6 +226,7 @@ def synthetic_findings(n: int = 6000, seed: int = 10, words: list[str] | None =
         lambda: (draw(hexa, rng.choice([16, 18, 24, 32, 40, 64])), "assigned", named(secret), path()),
         lambda: (draw(letters + "+/_-", rng.randint(12, 48)), "assigned", named(secret), path()),
         lambda: (rng.choice([draw(string.ascii_lowercase, rng.randint(10, 24)), draw(string.ascii_letters, rng.randint(10, 40)), "".join(rng.choice(words) for _ in range(rng.randint(3, 5)))]), "assigned", named(secret), path()),
+        lambda: (draw(letters + "@!#$%&*?", rng.randint(8, 20)), "assigned", named(secret), path()),
         lambda: (draw(letters, rng.randint(24, 48)), "opaque", f"{text(3)} {rng.choice(['bearer', 'secret', 'token', 'password'])} ", path()),
     ]
     bad = [

@@ -20,7 +20,7 @@ def test_known_formats_are_found_wherever_they_stand():
 
 
 def test_assigned_values_without_digits_and_quoted_names_are_candidates():
-    for text, value in [('db_password = "correcthorsebattery"', "correcthorsebattery"), ("api_key: abcdefghijklmnopqrst", "abcdefghijklmnopqrst"), ('{"password": "hunter2secret"}', "hunter2secret"), ("dbPassword='correcthorsebattery'", "correcthorsebattery")]:
+    for text, value in [('db_password = "correcthorsebattery"', "correcthorsebattery"), ("api_key: abcdefghijklmnopqrst", "abcdefghijklmnopqrst"), ('{"password": "hunter2secret"}', "hunter2secret"), ("dbPassword='correcthorsebattery'", "correcthorsebattery"), ("password = p@ssw0rd!x9", "p@ssw0rd!x9")]:
         assert (value, "assigned") in found(text), text
 
 
@@ -46,3 +46,40 @@ def test_the_forest_tells_passphrases_from_titles():
     assert ask('db_password = "kqzvwmrtyplx"') == [("kqzvwmrtyplx", True)]
     assert ask(f"the stone {KEY} of") == [(KEY, True)]
     assert ask("the stone title: waterglass") == [("waterglass", False)]
+
+
+def test_the_forest_overrules_the_kind_on_held_out_findings():
+    """Precision and recall on findings of another seed; kind alone would take all assigned and no opaque values."""
+    words = "the of and stone river table light north water glass paper green seven house cloud".split()
+    import numpy as np
+
+    x = lambda rows: np.array([S.features(*r[:5], frozenset(words)) for r in rows])
+    known, held = S.synthetic_findings(3000, words=words), S.synthetic_findings(800, seed=99, words=words)
+    forest = S.fit(x(known), np.array([r[5] for r in known], float), frozenset(words))
+    got, want, kind = forest.score(x(held)) >= S.LIKELY, np.array([bool(r[5]) for r in held]), np.array([r[1] != "opaque" for r in held])
+    assert (got & want).sum() >= 0.95 * got.sum() and (got & want).sum() >= 0.95 * want.sum()
+    assert (got[~kind] & want[~kind]).any() and (~got[kind] & ~want[kind]).any() and (got == want).mean() > (kind == want).mean() + 0.1
+
+
+def plain_formats(text):
+    """Start and kind of matches of the known formats, by trying every position."""
+    out = []
+    for name, form in S.FORMATS:
+        at = 0
+        while at < len(text):
+            m = form.match(text, at)
+            if m:
+                out.append((at, m.group(), name))
+            at = m.end() if m else at + 1
+    return sorted(out)
+
+
+def test_planted_keys_are_all_found_in_place():
+    import random
+
+    rng = random.Random(3)
+    planted = [KEY, "ghp_" + "d" * 36, "xoxb-123456789012-abcdefghijkl", JWT, "-----BEGIN RSA PRIVATE KEY-----"]
+    for _ in range(60):
+        text = "".join(rng.choice([rng.choice(planted), "stone river ", "a1" * rng.randint(1, 300), "\n", '"', "key=", " "]) for _ in range(30))
+        got = sorted((s, v, k) for s, v, k, *_ in S.candidates(text) if k not in ("assigned", "opaque"))
+        assert got == plain_formats(text)
