@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codegrove.functions import names as N
+from codegrove.functions.storage import small, stored
 from codegrove.operators import rollups as R
 from codegrove.plans.registry import query
 
@@ -27,11 +28,22 @@ _LOOKUP = "(SELECT n.structural_id AS id, m.structural_id AS owner FROM @nodes n
 
 
 def module_lookup(g):
-    """id, owner: the longest module name that encloses each node, by exploding its prefixes."""
-    n = g.nodes.select("structural_id", F.explode(N.prefixes(C("qualified_name"))).alias("prefix"))
-    m = g.nodes.filter("node_type = 'module'").select(C("qualified_name").alias("prefix"), C("structural_id").alias("module"))
-    best = n.join(m, "prefix").groupBy("structural_id").agg(F.max_by("module", F.length("prefix")).alias("owner"))
-    return best.select(C("structural_id").alias("id"), "owner")
+    """id, owner: the module with the longest name that encloses each node.
+
+    One lookup for each depth that module names have, deepest first; where the modules are within the broadcast bound,
+    nodes are neither exploded nor shuffled.
+    """
+    m = stored(g.nodes.filter("node_type = 'module'").select("qualified_name", C("structural_id").alias("module"), N.depth(C("qualified_name")).alias("depth")))
+    n = g.nodes.select(C("structural_id").alias("id"), "qualified_name")
+    found = []
+    for r in m.select("depth").distinct().orderBy(F.desc("depth")).collect():  # as many rows as names have depths
+        d = r["depth"]
+        at = small(m.filter(C("depth") == d).select(C("qualified_name").alias(f"p{d}"), C("module").alias(f"m{d}")))
+        n = n.join(at, F.substring_index("qualified_name", ".", d) == C(f"p{d}"), "left")
+        found.append(C(f"m{d}"))
+    if not found:
+        return n.select("id", F.lit(None).cast("string").alias("owner")).limit(0)
+    return n.select("id", F.coalesce(*found).alias("owner")).filter("owner is not null")
 
 
 def class_lookup(g):
