@@ -5,16 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows a lookup may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write df to the folder of spark.checkpoint.dir and read it back. Where it is unset, a temporary one, and only in local mode, as in tests."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a temporary one, and only in local mode, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         master = spark.sparkContext.master or ""
@@ -22,9 +21,14 @@ def stored(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="codegrove-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back."""
+    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -83,3 +83,26 @@ def patched_fan(committed: DataFrame, deltas: DataFrame) -> DataFrame:
 def caller_transitions(calls: DataFrame) -> DataFrame:
     """Callers whose calls (src, dst, diff_kind) changed: added, removed and their difference."""
     return calls.groupBy("src").agg(F.count_if(F.col("diff_kind") == "add").alias("added"), F.count_if(F.col("diff_kind") == "remove").alias("removed")).withColumn("delta", F.col("added") - F.col("removed"))
+
+
+def patched_edges(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges of either side, with where each comes from."""
+    both = old.select(*keys, F.lit(True).alias("in_old")).join(new.select(*keys, F.lit(True).alias("in_new")), keys, "full_outer")
+    origin = F.when(F.col("in_old").isNull(), "overlay_added").when(F.col("in_new").isNull(), "overlay_removed").otherwise("committed")
+    return both.select(*keys, origin.alias("row_origin"))
+
+
+def change_set(status: DataFrame) -> DataFrame:
+    """path, kind of rows (status, old_path, new_path): a rename or copy is a removal and an addition."""
+    s = F.substring("status", 1, 1)
+    change = lambda path, kind: F.struct(F.col(path).alias("path"), F.lit(kind).alias("kind"))
+    made = F.when(s.isin("R", "C"), F.array(change("old_path", "remove"), change("new_path", "add"))).when(s == "A", F.array(change("new_path", "add"))).when(s == "D", F.array(change("old_path", "remove"))).otherwise(F.array(change("old_path", "modify")))
+    return status.select(F.explode(made).alias("c")).select("c.path", "c.kind").filter("path is not null")
+
+
+def previews(rows: DataFrame, key: str, item: str, limit: int) -> DataFrame:
+    """key, total, shown, truncated, entries: the first items of each key by name; only those are listed."""
+    total = rows.groupBy(key).agg(F.count("*").alias("total"))
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(item))).filter(F.col("place") <= limit)
+    entries = first.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(item)), "|").alias("entries"))
+    return total.join(entries, key).select(key, "total", F.least("total", F.lit(limit)).alias("shown"), (F.col("total") > limit).alias("truncated"), "entries")
