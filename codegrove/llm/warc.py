@@ -1,17 +1,19 @@
 """WARC archives: a writer of one gzip member per record, and a sequential reader.
 
-The writer puts archives of bounded size into a folder of the shared store. The reader takes an archive as bytes and goes
-through it once: each gzip member is inflated in steps, its header block is parsed, the block is
-framed by Content-Length, and the payload is checked against WARC-Payload-Digest.
+The writer puts archives of bounded size into a folder of the shared store. The reader opens an archive as a stream and goes
+through it once: each gzip member is inflated in steps, its header block is parsed, the block is framed by
+Content-Length while it is inflated, and its digest, made as it comes, is held against WARC-Payload-Digest.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -23,8 +25,10 @@ from .common import arrow_map, shared_dir, small, store
 
 #: An archive ends after the record with which it reaches this size.
 ARCHIVE_BYTES = 8 << 20
-#: Compressed bytes given to the inflater at once.
+#: Bytes read at once, and bytes inflated at once.
 STEP = 64 << 10
+#: Tasks that read archives at most.
+READ_TASKS = 10_000
 #: Payloads of at least this size are written once and revisited.
 REVISIT_FROM = 0
 _DATE = "2024-01-01T00:00:00Z"
@@ -60,28 +64,38 @@ def encode(kind: str, uri: str, key: int | None, payload: bytes, full: bytes, re
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n") + z.flush()
 
 
-def members(archive: bytes, step: int = STEP) -> Iterator[bytes]:
-    """The inflated gzip members of an archive, one after another."""
-    at, view = 0, memoryview(archive)
-    while at < len(view):
-        z, out = zlib.decompressobj(31), []
-        while not z.eof:
-            if at >= len(view):
-                raise WarcError("the last gzip member is cut off")
-            piece = view[at : at + step]
-            try:
-                out.append(z.decompress(piece))
-            except zlib.error as e:
-                raise WarcError(f"broken gzip member: {e}") from e
-            at += len(piece)
-        at -= len(z.unused_data)
-        yield b"".join(out)
+class _Source:
+    """Compressed bytes of a stream, STEP at a time; what one member leaves over belongs to the next."""
 
+    def __init__(self, stream: BinaryIO, step: int):
+        self.stream, self.step, self.left = stream, step, b""
 
-def parse(member: bytes, check: bool = True) -> Record:
-    """The record of one inflated member."""
-    head, gap, rest = member.partition(b"\r\n\r\n")
-    if not gap or not head.startswith(b"WARC/"):
+    def take(self) -> bytes:
+        out, self.left = self.left or self.stream.read(self.step), b""
+        return out
+
+
+def _chunks(source: _Source) -> Iterator[bytes]:
+    """Inflated bytes of the next gzip member, no more than a step at a time."""
+    z, full = zlib.decompressobj(31), False
+    while not z.eof:
+        data = z.unconsumed_tail
+        if not data and not full:
+            data = source.take()
+            if not data:
+                raise WarcError("the last gzip member is cut off")
+        try:
+            out = z.decompress(data, source.step)
+        except zlib.error as e:
+            raise WarcError(f"broken gzip member: {e}") from e
+        full = len(out) == source.step
+        if out:
+            yield out
+    source.left = z.unused_data + source.left
+
+
+def _headers(head: bytes) -> tuple[str, dict[str, str]]:
+    if not head.startswith(b"WARC/"):
         raise WarcError("no record header")
     lines = head.decode("utf-8").split("\r\n")
     headers: dict[str, str] = {}
@@ -95,24 +109,64 @@ def parse(member: bytes, check: bool = True) -> Record:
             raise WarcError(f"no colon in header line {line!r}")
         last = name.strip().lower()
         headers[last] = value.strip()
+    return lines[0], headers
+
+
+def _frame(chunks: Iterator[bytes], check: bool) -> Record:
+    """The record of one member: its header, as many bytes as Content-Length says, digested as they come, and the end."""
+    buffer, end = bytearray(), -1
+    while end < 0:
+        piece = next(chunks, b"")
+        if not piece:
+            raise WarcError("no record header")
+        seen = max(0, len(buffer) - 3)
+        buffer += piece
+        end = buffer.find(b"\r\n\r\n", seen)
+    version, headers = _headers(bytes(buffer[:end]))
     length = headers.get("content-length", "")
     if not length.isdigit():
         raise WarcError("no Content-Length")
-    n = int(length)
-    if len(rest) < n + 4 or rest[n : n + 4] != b"\r\n\r\n" or len(rest) != n + 4:
+    n, sha, payload, rest = int(length), hashlib.sha1(), bytearray(), bytes(buffer[end + 4 :])
+    while True:
+        part = rest[: n - len(payload)]
+        sha.update(part)
+        payload += part
+        rest = rest[len(part) :]
+        if len(payload) == n:
+            break
+        rest = next(chunks, b"")
+        if not rest:
+            raise WarcError("the block does not have its Content-Length")
+    for piece in chunks:
+        rest += piece
+        if len(rest) > 4:
+            break
+    if rest != b"\r\n\r\n":
         raise WarcError("the block does not have its Content-Length")
-    record = Record(lines[0], headers, rest[:n])
+    record = Record(version, headers, bytes(payload))
     said = headers.get("warc-payload-digest", "")
     if check and said and record.type != "revisit":
-        if said.removeprefix("sha1:") != digest(record.payload):
+        if said.removeprefix("sha1:") != base64.b32encode(sha.digest()).decode():
             raise WarcError(f"payload of {headers.get('warc-record-id')} does not match its digest")
     return record
 
 
-def read_archive(archive: bytes, check: bool = True) -> Iterator[Record]:
-    """Records of an archive in order; an empty archive has none."""
-    for member in members(archive):
-        yield parse(member, check)
+def parse(member: bytes, check: bool = True) -> Record:
+    """The record of one inflated member."""
+    return _frame(iter([member]), check)
+
+
+def read_stream(stream: BinaryIO, check: bool = True, step: int = STEP) -> Iterator[Record]:
+    """Records of an archive in order, from a stream that is read once; one record is held at a time."""
+    source = _Source(stream, step)
+    while first := source.take():
+        source.left = first
+        yield _frame(_chunks(source), check)
+
+
+def read_archive(archive: bytes, check: bool = True, step: int = STEP) -> Iterator[Record]:
+    """Records of an archive held in memory; an empty archive has none."""
+    return read_stream(io.BytesIO(archive), check, step)
 
 
 def _number(said: str | None) -> int | None:
@@ -182,16 +236,23 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return store(arrow_map(found, _write(jfs, archive_bytes), "name string, records long, bytes long"), "archives")
 
 
-def _read(check: bool):
+#: Payload bytes and records a batch of the reader holds at most, but for one record.
+BATCH_BYTES, BATCH_RECORDS = 4 << 20, 256
+
+
+def _read(folder: str, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for content in batch.column(batch.schema.get_field_index("content")):
-                rows: list[tuple] = []
-                for r in read_archive(content.as_py(), check):
-                    rows.append((_number(r.headers.get("warc-record-id")), r.headers.get("warc-target-uri"), int(r.headers.get("x-full-length", len(r.payload))), r.headers.get("warc-payload-digest", "").removeprefix("sha1:"), r.type, _number(r.headers.get("warc-refers-to")), r.payload))
-                    if len(rows) >= 256:
-                        yield _batch(rows)
-                        rows = []
+            for name in batch.column(0).to_pylist():
+                rows, size = [], 0
+                with fs.open_input_stream(f"{base}/{name}", compression=None) as stream:
+                    for r in read_stream(stream, check):
+                        rows.append((_number(r.headers.get("warc-record-id")), r.headers.get("warc-target-uri"), int(r.headers.get("x-full-length", len(r.payload))), r.headers.get("warc-payload-digest", "").removeprefix("sha1:"), r.type, _number(r.headers.get("warc-refers-to")), r.payload))
+                        size += len(r.payload)
+                        if len(rows) >= BATCH_RECORDS or size >= BATCH_BYTES:
+                            yield _batch(rows)
+                            rows, size = [], 0
                 yield _batch(rows)
 
     return run
@@ -206,13 +267,18 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def read_archives(archives: DataFrame, folder: str, check: bool = True) -> DataFrame:
     """Records of the listed archives: id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
-    Files of the folder that the list does not name (left by failed attempts) are not read.
+    Each archive is streamed by one task, so its size is bounded by no row. Files of the folder that the list does not
+    name (left by failed attempts) are not read.
     """
-    spark = archives.sparkSession
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.read.format("binaryFile").schema(schema).option("pathGlobFilter", "*.warc.gz").load(folder)
-    files = files.withColumn("name", F.substring_index("path", "/", -1)).join(archives.select("name"), "name", "left_semi")
-    return arrow_map(files.select("content"), _read(check), "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    jfs = folder if "://" in folder else f"file://{folder}"
+    names = archives.select("name").repartition(max(1, min(archives.count(), READ_TASKS)), "name")
+    return arrow_map(names, _read(jfs, check), "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+
+
+def unresolved_revisits(records: DataFrame) -> DataFrame:
+    """Revisits whose response is not among the records, or differs from them in digest or length."""
+    known = records.filter("record_type = 'response'").select(F.col("id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    return records.filter("record_type = 'revisit'").drop("payload").join(known, ["refers_to", "payload_digest", "payload_bytes"], "left_anti")
 
 
 def archive_folder(spark, name: str) -> str:
