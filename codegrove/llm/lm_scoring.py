@@ -278,8 +278,8 @@ def score_texts(docs: DataFrame, train_filter=None, id_col: str = "doc_id", text
     blocks = sum_blocks(arrow_map(learn, _triples(words), "block int, part int, data binary"))
     model = spark.sparkContext.broadcast(train(read_blocks(blocks, CELLS)))
 
-    found = store(arrow_map(rows, _score(words, model, tail_log), "id long, n_tokens long, known long, logs double, lm double, hs array<long>, ns array<long>"), "scored")
-    found = found.withColumn("_row", F.monotonically_increasing_id())
+    found = arrow_map(rows, _score(words, model, tail_log), "id long, n_tokens long, known long, logs double, lm double, hs array<long>, ns array<long>")
+    found = store(found.withColumn("_row", F.monotonically_increasing_id()), "scored")  # numbered as written: later reads may split otherwise
     rare = found.filter(F.size("hs") > 0).select("_row", F.explode(F.arrays_zip("hs", "ns")).alias("x")).select("_row", F.col("x.hs").alias("h"), F.col("x.ns").alias("n"))
     rare = rare.join(counts.select("h", "c"), "h").groupBy("_row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare"))
     n, v = int(total[0]), int(total[1])
