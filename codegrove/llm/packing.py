@@ -313,8 +313,8 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     Null texts count as empty; rows with a null id are packed like others; repeated rows are packed
     as often as they occur. An empty table gives an empty result.
     """
-    cut = store(cut_documents(docs, path, id_col, text_col, capacity, end), "pieces")
-    pieces = cut.withColumn("uid", F.monotonically_increasing_id())
+    cut = cut_documents(docs, path, id_col, text_col, capacity, end)
+    pieces = store(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces")  # numbered as written: later reads may split otherwise
     full = pieces.filter(F.col("length") >= capacity)
     first = store(pack_pieces(store(pieces.filter(F.col("length") < capacity), "open"), capacity), "packed")
     good = first.filter(F.col("load") >= POOR * capacity)
