@@ -59,12 +59,13 @@ def _least(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def descendants(contains: DataFrame, roots: DataFrame) -> DataFrame:
-    """root, id, depth below the roots (id) of a tree."""
+    """root, id, depth (the least) below the roots (id); what was reached is not extended again, so a cycle ends."""
     tree = stored(contains.select("src", "dst"))
     front = stored(roots.join(tree.withColumnRenamed("src", "id"), "id").select(F.col("id").alias("root"), F.col("dst").alias("id"), F.lit(1).cast("long").alias("depth")))
     out = front
     while not front.isEmpty():
-        front = stored(front.join(tree.withColumnRenamed("src", "id"), "id").select("root", F.col("dst").alias("id"), (F.col("depth") + 1).alias("depth")))
+        new = front.join(tree.withColumnRenamed("src", "id"), "id").select("root", F.col("dst").alias("id"), (F.col("depth") + 1).alias("depth")).distinct()
+        front = stored(new.join(out.select("root", "id"), ["root", "id"], "left_anti"))
         out = out.unionByName(front)
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,6 +18,20 @@ def fan_deltas(changes: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("e.node_id").alias("node_id"), F.col("edge_type").alias("edge_kind")).agg(F.sum("e.i").alias("fan_in"), F.sum("e.o").alias("fan_out"))
 
 
-def maintain(changes: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Run over a streaming DataFrame; only the totals that a trigger changed are written."""
-    return fan_deltas(changes).writeStream.outputMode("update").foreachBatch(lambda batch, _: batch.createOrReplaceGlobalTempView(name)).option("checkpointLocation", checkpoint).start()
+def maintain(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run over a streaming DataFrame: each trigger writes the totals it changed to a folder of its own under path.
+
+    A trigger that is run again replaces its folder, so nothing is counted twice.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return fan_deltas(changes).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def totals(spark: SparkSession, path: str) -> DataFrame:
+    """node_id, edge_kind, fan_in, fan_out as the latest trigger that changed a node left them."""
+    rows = spark.read.parquet(path)
+    last = rows.groupBy("node_id", "edge_kind").agg(F.max_by(F.struct("fan_in", "fan_out"), "batch").alias("t"))
+    return last.select("node_id", "edge_kind", "t.fan_in", "t.fan_out")

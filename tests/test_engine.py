@@ -140,6 +140,22 @@ def test_fan_stream(spark, tmp_path):
     assert {r.node_id: (r.fan_in, r.fan_out) for r in spark.table("fans").collect()} == {"a": (0, 1), "b": (0, 0), "c": (1, 0)}
 
 
+def test_fan_totals_outlive_their_trigger(spark, tmp_path):
+    from codegrove.streaming.fan_stream import maintain, totals
+
+    schema = "src string, dst string, edge_type string, diff_kind string"
+    for rows in ([("a", "b", "CALLS", "add"), ("a", "c", "CALLS", "add")], [("c", "b", "CALLS", "add"), ("a", "c", "CALLS", "remove")]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        maintain(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert {r.node_id: (r.fan_in, r.fan_out) for r in totals(spark, f"{tmp_path}/out").collect()} == {"a": (0, 1), "b": (2, 0), "c": (0, 1)}
+
+
+def test_descendants_end_on_a_cycle(spark):
+    tree = edges(spark, [("a", "b"), ("b", "c"), ("c", "b")])
+    got = {(r["id"], r.depth) for r in G.descendants(tree, spark.createDataFrame([("a",)], "id string")).collect()}
+    assert got == {("b", 1), ("c", 2)}
+
+
 def test_patched_rows_take_new_values_and_keep_removed_rows(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2), ("c", None)], "id string, v int")
     new = spark.createDataFrame([("a", 1), ("b", None), ("d", 4)], "id string, v int")
