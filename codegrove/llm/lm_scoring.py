@@ -1,12 +1,14 @@
 """Text scores of a log-bilinear language model trained with noise-contrastive estimation.
 
 The model predicts word classes: the most frequent words are classes of their own, every other word belongs to
-one of a fixed number of tail classes by its ending, and the end of a text is a class. A context of two
-classes gives a predicted vector (their vectors times one matrix per position); a class scores its
-product with that vector plus a bias. Training makes STEPS x BATCH random draws from the counts of all class
-triples of all training texts, a fixed number whatever the corpus. For scoring, one batched matrix product gives every context's scores, which are normalised over
-all classes; a word of a tail class has its share of the class by its smoothed training count, unseen words together one more.
-So token probabilities are normalised over an open vocabulary.
+one of the tail classes by its ending, and the end of a text is a class. The number of both kinds grows with the
+logarithm of the training tokens. A context of two classes gives a predicted vector (their vectors times one matrix
+per position); a class scores its product with that vector plus a bias. Training goes over the counts of all class
+triples of all training texts, again and again: each counted triple takes part in every pass with its whole count,
+and the noise term is taken in expectation over all classes rather than from draws, so the number of steps grows with
+the contexts that occur. For scoring, batched matrix products give every context's scores, which are normalised over
+all classes; a word of a tail class has its share of the class by its smoothed training count, unseen words together
+one more. So token probabilities are normalised over an open vocabulary.
 
 Word counts live in a table; the most frequent words' counts travel to the workers (HEAD entries), all
 others are joined.
@@ -28,17 +30,39 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, crc_mod, most_frequent, pack_blocks, read_blocks, store, sum_blocks, texts_of
 
-#: Words that are classes of their own, and classes of the other words.
-FREQUENT, TAILS = 96, 64
+#: For each doubling of the training tokens: words more that are classes of their own, and tail classes more.
+FREQUENT_STEP, TAIL_STEP = 5.0, 5.0
 #: Words whose counts every worker holds.
 HEAD = 100_000
-DIM, STEPS, BATCH, NOISE, RATE = 24, 1800, 2048, 128, 0.02
+DIM, NOISE, RATE = 24, 128, 0.02
+#: Contexts of a training step, and the least number of passes over all contexts and of steps.
+BATCH, PASSES, STEPS = 1024, 20, 1000
 #: Distinct words a counting task holds before it hands them on.
 HELD = 400_000
 
 END = "\x00end"
-OUTPUTS = FREQUENT + TAILS + 1
-END_CLASS, START_CLASS = OUTPUTS - 1, OUTPUTS
+
+
+@dataclass(frozen=True)
+class Classes:
+    """Words that are classes of their own, and classes of the other words; the end of a text comes after them."""
+
+    frequent: int
+    tails: int
+
+    @classmethod
+    def of(cls, tokens: int) -> Classes:
+        doublings = np.log2(tokens + 2)
+        return cls(int(FREQUENT_STEP * doublings), int(TAIL_STEP * doublings))
+
+    @property
+    def outputs(self) -> int:
+        return self.frequent + self.tails + 1
+
+    @property
+    def cells(self) -> int:
+        """Triples: contexts of two classes, each of which may also be the start, times outputs."""
+        return (self.outputs + 1) ** 2 * self.outputs
 
 
 def word_hash(word: bytes) -> int:
@@ -50,8 +74,9 @@ def word_hash(word: bytes) -> int:
 END_HASH = word_hash(END.encode())
 
 
-def tail_class(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % TAILS
+def ending(word: bytes) -> int:
+    """A number for a word's ending; modulo the tail classes it gives the word's."""
+    return zlib.crc32(word[-2:])
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -64,7 +89,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out() -> pa.RecordBatch:
         words = list(held)
-        rows = pa.record_batch([pa.array(map(word_hash, words), pa.int64()), pa.array(map(tail_class, words), pa.int32()), pa.array(held.values(), pa.int64())], names=["h", "tail", "c"])
+        rows = pa.record_batch([pa.array(map(word_hash, words), pa.int64()), pa.array(map(ending, words), pa.int64()), pa.array(held.values(), pa.int64())], names=["h", "ending", "c"])
         held.clear()
         return rows
 
@@ -76,16 +101,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out()
     if texts:
         yield out()
-        yield pa.record_batch([pa.array([END_HASH], pa.int64()), pa.array([-1], pa.int32()), pa.array([texts], pa.int64())], names=["h", "tail", "c"])
+        yield pa.record_batch([pa.array([END_HASH], pa.int64()), pa.array([-1], pa.int64()), pa.array([texts], pa.int64())], names=["h", "ending", "c"])
 
 
 @dataclass
 class Words:
-    """What workers know of the vocabulary: hashes of the HEAD words, most frequent first, and their counts."""
+    """What workers know of the vocabulary: hashes of the HEAD words, most frequent first, their counts, and the classes."""
 
     hashes: np.ndarray
     counts: np.ndarray
     frequent: list[int]
+    classes: Classes
 
 
 class Lookup:
@@ -94,6 +120,7 @@ class Lookup:
     def __init__(self, words: Words, limit: int = 300_000):
         self.head = dict(zip(words.hashes.tolist(), words.counts.tolist()))
         self.own = {h: i for i, h in enumerate(words.frequent)}
+        self.classes = words.classes
         self.limit = limit
         self._reset()
 
@@ -108,7 +135,7 @@ class Lookup:
             h = word_hash(w)
             c = self.head.get(h)
             self.slot[w] = len(self.cls)
-            self.cls.append(self.own.get(h, FREQUENT + tail_class(w)))
+            self.cls.append(self.own.get(h, self.classes.frequent + ending(w) % self.classes.tails))
             self.log.append(np.nan if c is None else np.log10(c + 1.0))
             self.hash.append(h)
 
@@ -122,21 +149,19 @@ class Lookup:
         return [np.fromiter(map(self.slot.__getitem__, t), np.int64, len(t)) for t in texts]
 
 
-def contexts(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def contexts(cls: np.ndarray, outputs: int) -> tuple[np.ndarray, np.ndarray]:
     """Context number and class of each token of a text, its end included."""
     seq = np.empty(len(cls) + 3, np.int64)
-    seq[:2] = START_CLASS
+    seq[:2] = outputs
     seq[2:-1] = cls
-    seq[-1] = END_CLASS
-    return seq[:-2] * (OUTPUTS + 1) + seq[1:-1], seq[2:]
-
-
-CELLS = (OUTPUTS + 1) * (OUTPUTS + 1) * OUTPUTS
+    seq[-1] = outputs - 1
+    return seq[:-2] * (outputs + 1) + seq[1:-1], seq[2:]
 
 
 def _triples(words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, total = Lookup(words.value), np.zeros(CELLS, np.int32)
+        look, classes = Lookup(words.value), words.value.classes
+        total = np.zeros(classes.cells, np.int32)
         for batch in batches:
             texts = [tokens_of(t) for t in texts_of(batch)]
             for at in range(0, len(texts), 64):
@@ -144,8 +169,8 @@ def _triples(words):
                 cls = np.array(look.cls, np.int64)
                 cells = []
                 for s in slots:
-                    ctx, out = contexts(cls[s])
-                    cells.append(ctx * OUTPUTS + out)
+                    ctx, out = contexts(cls[s], classes.outputs)
+                    cells.append(ctx * classes.outputs + out)
                 found, n = np.unique(np.concatenate(cells), return_counts=True)
                 total[found] += n.astype(np.int32)
         blocks, parts, data = pack_blocks(total, TaskContext.get().partitionId())
@@ -168,50 +193,61 @@ class LogBilinear:
         return self.context[a] @ self.first + self.context[b] @ self.second
 
     def log10_table(self) -> np.ndarray:
-        """Normalised log10 probability of each class for each context."""
-        n = OUTPUTS + 1
-        a, b = np.divmod(np.arange(n * n), n)
-        s = (self.predicted(a, b) @ self.output.T + self.bias).astype(np.float32)
-        top = s.max(axis=1, keepdims=True)
-        s -= top + np.log(np.exp(s - top).sum(axis=1, keepdims=True))
-        return s / np.float32(np.log(10))
-
-
-def train(counts: np.ndarray, seed: int = 1) -> LogBilinear:
-    """Noise-contrastive estimation on counted triples; noise is the smoothed unigram distribution of classes."""
+        """Normalised log10 probability of each class for each context; the contexts of one first class are a batch."""
+        n = len(self.context)
+        table = np.empty((n, n, n - 1), np.float32)
+        every = np.arange(n)
+        for a, rows in enumerate(table):
+            rows[:] = self.predicted(np.full(n, a), every) @ self.output.T + self.bias
+            rows -= rows.max(axis=1, keepdims=True)
+            rows -= np.log(np.exp(rows).sum(axis=1, keepdims=True))
+        table /= np.float32(np.log(10))
+        return table.reshape(n * n, n - 1)
+
+
+def train(counts: np.ndarray, classes: Classes, seed: int = 1) -> LogBilinear:
+    """Noise-contrastive estimation on counted triples; noise is the smoothed unigram distribution of classes.
+
+    A pass deals all contexts that occur into steps. A context with more than a step's part of all tokens is in every step
+    of the pass with an even part of its counts, so that the steps weigh about alike.
+    """
     rng = np.random.default_rng(seed)
-    cells = np.flatnonzero(counts)
-    upto = np.cumsum(counts[cells]).astype(np.float64)
-    unigram = np.bincount(cells % OUTPUTS, counts[cells].astype(np.float64), OUTPUTS) + 1.0
+    n = classes.outputs
+    table = counts.reshape(-1, n)
+    mass = table.sum(axis=1)
+    unigram = table.sum(axis=0) + 1.0
     noise = unigram / unigram.sum()
-    model = LogBilinear(rng.normal(0, 0.1, (OUTPUTS + 1, DIM)), np.eye(DIM) * 0.5, np.eye(DIM) * 1.0, rng.normal(0, 0.1, (OUTPUTS, DIM)), np.log(noise))
-    if not len(cells):
+    model = LogBilinear(rng.normal(0, 0.1, (n + 1, DIM)), np.eye(DIM) * 0.5, np.eye(DIM) * 1.0, rng.normal(0, 0.1, (n, DIM)), np.log(noise))
+    seen = np.flatnonzero(mass)
+    if not len(seen):
         return model
-    log_kq = np.log(NOISE * noise)
+    kq = NOISE * noise
+    log_kq = np.log(kq)
+    deals = -(-len(seen) // BATCH)
+    step_mass = mass.sum() / deals
+    heavy, light = seen[mass[seen] > step_mass], seen[mass[seen] <= step_mass]
+    steps = deals * max(PASSES, -(-STEPS // deals))
     names = ["context", "first", "second", "output", "bias"]
     m = {k: np.zeros_like(getattr(model, k)) for k in names}
     v = {k: np.zeros_like(getattr(model, k)) for k in names}
-    for step in range(1, STEPS + 1):
-        pick = cells[np.searchsorted(upto, rng.random(BATCH) * upto[-1], side="right")]
-        w, ctx = pick % OUTPUTS, pick // OUTPUTS
-        a, b = np.divmod(ctx, OUTPUTS + 1)
-        false = rng.choice(OUTPUTS, NOISE, p=noise)
+    for step in range(1, steps + 1):
+        deal = (step - 1) % deals
+        if deal == 0:
+            rng.shuffle(light)
+        ctx = np.concatenate([heavy, light[deal::deals]])
+        part = np.ones((len(ctx), 1))
+        part[: len(heavy)] /= deals
+        true = table[ctx] * (part / step_mass)
+        a, b = np.divmod(ctx, n + 1)
         ea, eb = model.context[a], model.context[b]
         r = ea @ model.first + eb @ model.second
-        good = (r * model.output[w]).sum(axis=1) + model.bias[w] - log_kq[w]
-        bad = r @ model.output[false].T + model.bias[false] - log_kq[false]
-        dg = (1 / (1 + np.exp(-np.clip(good, -30, 30))) - 1) / BATCH  # d loss / d score
-        db = 1 / (1 + np.exp(-np.clip(bad, -30, 30))) / BATCH
-        dr = dg[:, None] * model.output[w] + db @ model.output[false]
-        grad = {k: np.zeros_like(getattr(model, k)) for k in names}
-        np.add.at(grad["output"], w, dg[:, None] * r)
-        np.add.at(grad["output"], false, db.T @ r)
-        np.add.at(grad["bias"], w, dg)
-        np.add.at(grad["bias"], false, db.sum(axis=0))
-        grad["first"], grad["second"] = ea.T @ dr, eb.T @ dr
+        odds = r @ model.output.T + model.bias - log_kq
+        ds = (true + true.sum(axis=1, keepdims=True) * kq) / (1 + np.exp(-np.clip(odds, -30, 30))) - true  # d loss / d score
+        dr = ds @ model.output
+        grad = {"output": ds.T @ r, "bias": ds.sum(axis=0), "first": ea.T @ dr, "second": eb.T @ dr, "context": np.zeros_like(model.context)}
         np.add.at(grad["context"], a, dr @ model.first.T)
         np.add.at(grad["context"], b, dr @ model.second.T)
-        rate = RATE * (1 - step / (STEPS + 1)) + 1e-4
+        rate = RATE * (1 - step / (steps + 1)) + 1e-4
         for k in names:
             m[k] = 0.9 * m[k] + 0.1 * grad[k]
             v[k] = 0.999 * v[k] + 0.001 * grad[k] ** 2
@@ -225,7 +261,8 @@ def _score(words, model, tail_log):
         look, table = Lookup(words.value), model.value.log10_table()
         end_log = np.log10(look.head.get(END_HASH, 0) + 1.0)
         known_end = int(END_HASH in look.head)
-        share = np.concatenate([np.zeros(FREQUENT), tail_log.value])
+        classes = words.value.classes
+        share = np.concatenate([np.zeros(classes.frequent), tail_log.value])
         for batch in batches:
             keys = batch.column(0).to_pylist()
             n, known, logs, lm, hs, ns = [], [], [], [], [], []
@@ -235,12 +272,12 @@ def _score(words, model, tail_log):
                 cls, log = np.array(look.cls, np.int64), np.array(look.log)
                 for s in slots:
                     mine, c = log[s], cls[s]
-                    ctx, out = contexts(c)
+                    ctx, out = contexts(c, classes.outputs)
                     tail = np.isnan(mine)
                     n.append(len(s) + 1)
                     known.append(int((~tail).sum()) + known_end)
                     logs.append(float(mine[~tail].sum() + end_log))
-                    in_tail = c >= FREQUENT
+                    in_tail = c >= classes.frequent
                     inside = mine[in_tail & ~tail].sum() - share[c[in_tail]].sum()
                     lm.append(float(table[ctx, out].sum(dtype=np.float64) + inside))
                     which, times = np.unique(s[tail], return_counts=True)
@@ -261,22 +298,23 @@ def score_texts(docs: DataFrame, train_filter=None, id_col: str = "doc_id", text
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
     learn = rows.filter(crc_mod("_id", 7) != 2) if train_filter is None else docs.filter(train_filter).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text"))
-    counts = arrow_map(learn, _count, "h long, tail int, c long").groupBy("h").agg(F.sum("c").alias("c"), F.first("tail").alias("tail"))
+    counts = arrow_map(learn, _count, "h long, ending long, c long").groupBy("h").agg(F.sum("c").alias("c"), F.first("ending").alias("ending"))
     counts = store(counts, "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(FREQUENT + 1).select("h", "c").collect()
-    frequent = [r["h"] for r in top if r["h"] != END_HASH][:FREQUENT]
+    classes = Classes.of(int(total[0]))
+    top = counts.orderBy(F.desc("c"), "h").limit(classes.frequent + 1).select("h", "c").collect()
+    frequent = [r["h"] for r in top if r["h"] != END_HASH][: classes.frequent]
     top += most_frequent(counts, HEAD).select("h", "c").collect()
     hashes = {r["h"]: r["c"] for r in top}
     hashes |= {r["h"]: r["c"] for r in counts.filter(F.col("h") == END_HASH).select("h", "c").collect()}
-    words = spark.sparkContext.broadcast(Words(np.array(list(hashes), np.int64), np.array(list(hashes.values()), np.int64), frequent))
-    tails = counts.filter((F.col("tail") >= 0) & ~F.col("h").isin(frequent)).groupBy("tail").agg((F.sum("c") + F.count("*") + 1).alias("n")).collect()
-    size = np.ones(TAILS)
+    words = spark.sparkContext.broadcast(Words(np.array(list(hashes), np.int64), np.array(list(hashes.values()), np.int64), frequent, classes))
+    tails = counts.filter((F.col("ending") >= 0) & ~F.col("h").isin(frequent)).groupBy((F.col("ending") % classes.tails).alias("tail")).agg((F.sum("c") + F.count("*") + 1).alias("n")).collect()
+    size = np.ones(classes.tails)
     for r in tails:
         size[r["tail"]] = r["n"]
     tail_log = spark.sparkContext.broadcast(np.log10(size))
     blocks = sum_blocks(arrow_map(learn, _triples(words), "block int, part int, data binary"))
-    model = spark.sparkContext.broadcast(train(read_blocks(blocks, CELLS)))
+    model = spark.sparkContext.broadcast(train(read_blocks(blocks, classes.cells), classes))
 
     found = arrow_map(rows, _score(words, model, tail_log), "id long, n_tokens long, known long, logs double, lm double, hs array<long>, ns array<long>")
     found = store(found.withColumn("_row", F.monotonically_increasing_id()), "scored")  # numbered as written: later reads may split otherwise

@@ -79,12 +79,65 @@ def test_lm_scoring(docs, data, empty):
 
 
 def test_lm_probabilities_are_normalised():
-    counts = np.zeros(lm_scoring.CELLS, np.int64)
+    classes = lm_scoring.Classes(96, 64)
+    counts = np.zeros(classes.cells, np.int64)
     counts[::997] = 3
-    table = lm_scoring.train(counts).log10_table()
+    table = lm_scoring.train(counts, classes).log10_table()
     assert np.allclose((10.0**table).sum(axis=1), 1, atol=1e-3)
 
 
+def test_lm_classes_grow_with_the_training_tokens():
+    sizes = [lm_scoring.Classes.of(n) for n in (0, 10**4, 10**6, 10**9, 10**13)]
+    assert all(a.frequent < b.frequent and a.tails < b.tails for a, b in zip(sizes, sizes[1:]))
+
+
+def test_lm_learns_from_every_counted_triple():
+    """Frequencies that depend on the last class are met, in contexts seen ten times as in one that has half of all tokens."""
+    classes = lm_scoring.Classes(3, 2)
+    n = classes.outputs
+    counts = np.zeros((n + 1, n + 1, n), np.int64)
+    for b in range(n + 1):
+        counts[:, b, (b + 1) % n] = 9
+        counts[:, b, (b + 3) % n] = 1
+    counts[2, 4] *= counts.sum() // 10
+    table = lm_scoring.train(counts.ravel(), classes).log10_table().reshape(counts.shape)
+    assert np.allclose(10.0**table, counts / counts.sum(axis=2, keepdims=True), atol=0.05)
+
+
+def test_lm_score_is_the_sum_over_single_tokens(docs, data):
+    train_rows = [r for r in data if held(r[0], 7) != 2]
+    text = {id(r): [w.lower() for w in words(r[1])] for r in data}
+    count = collections.Counter(w for r in train_rows for w in [*text[id(r)], None])
+    classes = lm_scoring.Classes.of(sum(count.values()))
+    by_rank = sorted((w for w in count if w is not None), key=lambda w: (-count[w], lm_scoring.word_hash(w)))
+    own = {w: i for i, w in enumerate(by_rank[: classes.frequent])}
+
+    def class_of(w):
+        return classes.outputs - 1 if w is None else own.get(w, classes.frequent + lm_scoring.ending(w) % classes.tails)
+
+    def steps(r):
+        a = b = classes.outputs
+        for w in [*text[id(r)], None]:
+            c = class_of(w)
+            yield a * (classes.outputs + 1) + b, c, w
+            a, b = b, c
+
+    counts = np.zeros(((classes.outputs + 1) ** 2, classes.outputs), np.int64)
+    for r in train_rows:
+        for ctx, c, _ in steps(r):
+            counts[ctx, c] += 1
+    table = lm_scoring.train(counts.ravel(), classes).log10_table()
+    size = collections.Counter()
+    for w in count:
+        if w is not None and w not in own:
+            size[class_of(w)] += count[w] + 1
+    want = sorted((r[0] is not None, r[0] or 0, sum(table[ctx, c] + (0 if w is None or w in own else math.log10((count[w] + 1) / (size[c] + 1))) for ctx, c, w in steps(r))) for r in data)
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.score) for r in lm_scoring.score_texts(docs).collect())
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g[:2] == w[:2] and g[2] == pytest.approx(w[2], rel=1e-4, abs=1e-3)
+
+
 def sets(data):
     out = {}
     for r in data:
