@@ -126,18 +126,24 @@ class Lookup:
 
     def _reset(self) -> None:
         self.slot: dict[bytes, int] = {}
-        self.cls: list[int] = []
-        self.log: list[float] = []
-        self.hash: list[int] = []
+        self.cls, self.log, self.hash = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+
+    def _make_room(self, n: int) -> None:
+        if n > len(self.cls):
+            size = max(n, 2 * len(self.cls))
+            self.cls, self.log, self.hash = (np.concatenate([x, np.empty(size - len(x), x.dtype)]) for x in (self.cls, self.log, self.hash))
 
     def learn(self, words: set[bytes]) -> None:
-        for w in words:
-            h = word_hash(w)
-            c = self.head.get(h)
-            self.slot[w] = len(self.cls)
-            self.cls.append(self.own.get(h, self.classes.frequent + ending(w) % self.classes.tails))
-            self.log.append(np.nan if c is None else np.log10(c + 1.0))
-            self.hash.append(h)
+        first, n = len(self.slot), len(self.slot) + len(words)
+        self._make_room(n)
+        hashes = list(map(word_hash, words))
+        frequent, tails = self.classes.frequent, self.classes.tails
+        self.hash[first:n] = hashes
+        self.cls[first:n] = [self.own.get(h, -1) for h in hashes]
+        other = np.fromiter(map(ending, words), np.int64, len(words)) % tails + frequent
+        self.cls[first:n] = np.where(self.cls[first:n] < 0, other, self.cls[first:n])
+        self.log[first:n] = np.log10(np.array([self.head.get(h, np.nan) for h in hashes], np.float64) + 1)
+        self.slot.update(zip(words, range(first, n)))
 
     def slots(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         some = set().union(*texts)
@@ -166,7 +172,7 @@ def _triples(words):
             texts = [tokens_of(t) for t in texts_of(batch)]
             for at in range(0, len(texts), 64):
                 slots = look.slots(texts[at : at + 64])
-                cls = np.array(look.cls, np.int64)
+                cls = look.cls
                 cells = []
                 for s in slots:
                     ctx, out = contexts(cls[s], classes.outputs)
@@ -269,7 +275,7 @@ def _score(words, model, tail_log):
             texts = [tokens_of(t) for t in texts_of(batch)]
             for at in range(0, len(texts), 64):
                 slots = look.slots(texts[at : at + 64])
-                cls, log = np.array(look.cls, np.int64), np.array(look.log)
+                cls, log = look.cls, look.log
                 for s in slots:
                     mine, c = log[s], cls[s]
                     ctx, out = contexts(c, classes.outputs)
@@ -281,7 +287,7 @@ def _score(words, model, tail_log):
                     inside = mine[in_tail & ~tail].sum() - share[c[in_tail]].sum()
                     lm.append(float(table[ctx, out].sum(dtype=np.float64) + inside))
                     which, times = np.unique(s[tail], return_counts=True)
-                    hs.append([look.hash[i] for i in which.tolist()])
+                    hs.append(look.hash[which].tolist())
                     ns.append(times.tolist())
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(lm, pa.float64()), pa.array(hs, pa.list_(pa.int64())), pa.array(ns, pa.list_(pa.int64()))], names=["id", "n_tokens", "known", "logs", "lm", "hs", "ns"])
 
