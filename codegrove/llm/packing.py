@@ -17,10 +17,12 @@ import sys
 import types
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,17 +37,39 @@ POPULATION, GENERATIONS, ELITES = 5, 12, 2
 POOR = 0.97
 
 
+def _slices(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Slices of data, one after another."""
+    stop = np.cumsum(length)
+    total = int(stop[-1]) if len(stop) else 0
+    return data[np.arange(total) + np.repeat(start - (stop - length), length)]
+
+
+def _blocks(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Rows that end in a text, about four megabytes of text at a time."""
+    some, size = [], 0
+    for row in rows:
+        some.append(row)
+        size += len(row[-1]) + 64
+        if size >= 1 << 22:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 class Encoder:
     """Token ids of texts as little-endian uint32 bytes, by words that white space separates.
 
     The vocabulary drops white space, folds case and never merges across white space or from a letter to
     punctuation. So the ids of a text are those of its words, and those of a word that ends in
-    punctuation are those of its two parts; each word is encoded once while it is remembered.
+    punctuation are those of its two parts. A block of texts is split, its distinct words are found, and
+    its ids are put together, each by whole columns; what is remembered of a word is a number, under which its
+    ids stand in one array. Beyond `limit` words all are forgotten.
     """
 
-    TAIL = b"!\"#$%&()*+,-./:;=?@[]^_{|}~"
+    TAIL = "!\"#$%&()*+,-./:;=?@[]^_{|}~"
 
-    def __init__(self, path: str, limit: int = 350_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,62 +78,80 @@ class Encoder:
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.last[i] = token.endswith("</w>")
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
-        self.tails: dict[bytes, bytes] = {b"": b""}
-
-    def learn(self, words: set[bytes]) -> None:
-        whole = list(words)
-        cores = [w.rstrip(self.TAIL) for w in whole]
-        texts = b" ".join(cores).decode().split(" ")
-        plain = [i for i, t in enumerate(texts) if t.isalpha()]
-        tails = {whole[i][len(cores[i]) :] for i in plain}.difference(self.tails)
-        self.tails.update(zip(tails, self._singly(list(tails))))
-        keys = [cores[i].lower() for i in plain]
-        if len(self.cores) > self.limit:
-            self.cores.clear()
-        new = list(set(keys).difference(self.cores))
-        for at in range(0, len(new), 2048):
-            some = new[at : at + 2048]
-            self.cores.update(zip(some, self._together(b" ".join(some).decode())))
-        for i, key in zip(plain, keys):
-            w, n = whole[i], len(cores[i])
-            self.words[w] = self.cores[key] if n == len(w) else self.cores[key] + self.tails[w[n:]]
-        odd = [w for w, t in zip(whole, texts) if not t.isalpha()]
-        self.words.update(zip(odd, self._singly(odd)))
-
-    def _singly(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def _together(self, words: str) -> list[bytes]:
-        """Ids of words of letters only: each is one run, so one token, its last, ends a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([words], add_special_tokens=False)[0].ids, "<u4")
-        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-        if len(ends) != words.count(" ") + 1:
-            return self._singly([w.encode() for w in words.split(" ")])
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip([0, *ends], ends)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[bytes, int] = {b"": 0}
+        self.used = 0
+        self.ids = np.zeros(1 << 16, "<u4")
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _add(self, words: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Number new words, whose ids follow one another."""
+        n, used = len(self.numbers), self.used
+        self.used += len(ids)
+        while self.used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(words) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.ids[used : self.used] = ids
+        self.start[n : n + len(words)] = used + np.cumsum(lengths) - lengths
+        self.length[n : n + len(words)] = lengths
+        self.numbers.update(zip(words, range(n, n + len(words))))
+
+    def _singly(self, words: list[bytes]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        self._add(words, np.array([i for x in found for i in x], "<u4"), np.array([len(x) for x in found], np.int64))
+
+    def _together(self, words: list[bytes]) -> None:
+        """Words of letters only: each is one run, so one token, its last, ends a word."""
+        text = b" ".join(words).decode()
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            self._singly(words)
+        else:
+            self._add(words, ids, np.diff(ends, prepend=0))
+
+    def _number(self, words: pa.Array, learn: Callable[[list[bytes]], None]) -> np.ndarray:
+        """The numbers of words; new ones are learned 2048 at a time."""
+        coded = words.dictionary_encode()
+        keys = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+        known = np.fromiter(map(self.numbers.get, keys, repeat(-1)), np.int64, len(keys))
+        unknown = np.flatnonzero(known < 0)
+        known[unknown] = np.arange(len(self.numbers), len(self.numbers) + len(unknown))
+        for at in range(0, len(unknown), 2048):
+            learn(keys[unknown[at : at + 2048]].tolist())
+        return known[coded.indices.to_numpy()]
+
+    def _block(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.numbers) > self.limit:
+            self.forget()
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary, coded.indices.to_numpy()
+        core = pc.ascii_rtrim(words, characters=self.TAIL)
+        plain = pc.utf8_is_alpha(core)
+        of_letters = plain.to_numpy(zero_copy_only=False)
+        parts = np.zeros((len(words), 2), np.int64)  # numbers of a word's core and tail
+        parts[~of_letters, 0] = self._number(words.filter(pc.invert(plain)), self._singly)
+        parts[of_letters, 0] = self._number(pc.ascii_lower(core.filter(plain)), self._together)
+        size = pc.binary_length(core).to_numpy()
+        tailed = np.flatnonzero(of_letters & (size < pc.binary_length(words).to_numpy()))
+        whole = words.take(pa.array(tailed)).cast(pa.binary()).to_numpy(zero_copy_only=False)
+        tails = [w[n:] for w, n in zip(whole, size[tailed].tolist())]
+        parts[tailed, 1] = self._number(pa.array(tails, pa.binary()), self._singly)
+        lengths = self.length[parts]
+        ids = _slices(self.ids, self.start[parts].ravel(), lengths.ravel())
+        of_word = lengths.sum(axis=1)
+        spans = of_word[at]
+        data = _slices(ids, (np.cumsum(of_word) - of_word)[at], spans)
+        bounds = (4 * np.r_[0, np.cumsum(spans)][split.offsets.to_numpy()]).tolist()
+        view = memoryview(data).cast("B")
+        return [bytes(view[a:b]) for a, b in zip(bounds, bounds[1:])]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):  # about a megabyte of text at a time
-            end, size = at, 0
-            while end < len(texts) and size < 1 << 20:
-                size += len(texts[end])
-                end += 1
-            some = [t.split() for t in texts[at:end]]
-            at = end
-            all_words = set().union(*some)
-            missing = all_words.difference(self.words)
-            if missing:
-                if len(self.words) + len(missing) > self.limit:
-                    self.words.clear()
-                    missing = all_words
-                self.learn(missing)
-            out += [b"".join(map(self.words.__getitem__, words)) for words in some]
-        return out
+        return [ids for some in _blocks(zip(texts)) for ids in self._block([t for t, in some])]
 
 
 def _encoder(path: str) -> Encoder:
@@ -124,9 +166,9 @@ def _pieces(path: str, capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, last = _encoder(path), np.array([end], "<u4").tobytes()
         width = 4 * capacity
-        for batch in batches:
+        for rows in _blocks(row for batch in batches for row in zip(batch.column(0).to_pylist(), texts_of(batch))):
             ids, piece, start, length, crc, tokens = [], [], [], [], [], []
-            for key, data in zip(batch.column(0).to_pylist(), encoder.encode(texts_of(batch))):
+            for key, data in zip((key for key, _ in rows), encoder.encode([text for _, text in rows])):
                 data += last
                 for at in range(0, len(data), width):
                     part = data[at : at + width]

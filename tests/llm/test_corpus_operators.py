@@ -269,6 +269,15 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(got, "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_forgets_and_learns_again():
+    """Words met again after all were forgotten, and texts longer than a block, have the ids they had."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, often = packing.Encoder(path), packing.Encoder(path, limit=3)
+    texts = [f"Alpha beta{i}, gamma... x{i} ".encode() * (1 + 200_000 * (i == 3)) for i in range(8)]
+    assert [often.encode([t])[0] for t in texts] == whole.encode(texts)
+    assert whole.encode([]) == [] and whole.encode([b"", b" \n\t"]) == [b"", b""]
+
+
 def test_text_counts(docs, data, empty):
     got = {r["_id"]: r for r in text_stats(docs).collect()}
     for r in data:
