@@ -45,6 +45,19 @@ def within_scope(pairs: DataFrame, scopes: DataFrame) -> DataFrame:
     return own.unionByName(far).distinct()
 
 
+def reachable_modules(callers: DataFrame, scopes: DataFrame, reach: DataFrame, barrels: DataFrame) -> DataFrame:
+    """caller_module, module: a caller's own module, those above it, its direct and transitive imports, and what barrels among its own module and imports export.
+
+    barrels(module, target). A null or empty caller module reaches nothing.
+    """
+    own = callers.select("caller_module").filter("caller_module <> ''").distinct()
+    imports = scopes.select("caller_module", "module").unionByName(reach.select("caller_module", "module")).join(own, "caller_module", "left_semi")
+    looked = own.select("caller_module", C("caller_module").alias("module")).unionByName(imports).distinct()
+    above = own.select("caller_module", F.explode(N.ancestors(C("caller_module"))).alias("module"))
+    exported = looked.join(barrels.select("module", "target"), "module").select("caller_module", C("target").alias("module"))
+    return looked.unionByName(above).unionByName(exported).distinct()
+
+
 def decide(sites: DataFrame, candidates: DataFrame, scopes: DataFrame, reach: DataFrame, descendants: bool = False) -> DataFrame:
     """site, accepted, provenance, dropped_reason, candidate_count, in_scope_count, module_hints.
 

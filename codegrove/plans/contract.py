@@ -209,3 +209,16 @@ def e9(g):
     k = Contract(g)
     rows = k.candidates.join(k.keys, "site")
     return rows.select("name", "identifier", N.is_constructor_of(C("name"), C("identifier")).alias("constructor"), N.same_proxy(C("name"), C("identifier")).alias("proxy"))
+
+
+@query(
+    "X6_reachable_modules",
+    _BASE + """, barrel AS (SELECT DISTINCT regexp_replace(module, '[.]sub$', '') AS module, module AS target FROM sym WHERE ends_with(module, '.sub')),
+looked AS (SELECT caller_module, caller_module AS module FROM key UNION SELECT caller_module, module FROM reach)
+SELECT caller_module, module FROM looked UNION SELECT caller_module, 'root' FROM key UNION SELECT caller_module, target FROM looked JOIN barrel USING (module)""",
+)
+def x6(g):
+    """Modules below a brand stand for what the brand's barrel exports."""
+    k = Contract(g)
+    barrels = k.symbols.filter(C("module").endswith(".sub")).select(F.regexp_replace("module", r"\.sub$", "").alias("module"), C("module").alias("target")).distinct()
+    return K.reachable_modules(k.keys, k.scopes, k.reach, barrels)

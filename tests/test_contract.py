@@ -53,6 +53,17 @@ def test_empty_tables_have_no_decisions(spark):
     assert K.decide(*(f.limit(0) for f in frames(spark))).collect() == []
 
 
+def test_reachable_modules(spark):
+    pairs = lambda cols, *x: spark.createDataFrame(list(x), cols)
+    callers = pairs("caller_module string", ("a.b.c",), ("a.b.c",), (None,), ("",))
+    scopes = pairs("caller_module string, module string", ("a.b.c", "m"), ("z", "y"), (None, "q"))
+    reach = pairs("caller_module string, module string", ("a.b.c", "m"), ("a.b.c", "n"))
+    barrels = pairs("module string, target string", ("n", "n.x"), ("a.b.c", "own"), ("a.b", "not"), ("n.x", "not"))
+    got = sorted(tuple(r) for r in K.reachable_modules(callers, scopes, reach, barrels).collect())
+    assert got == [("a.b.c", m) for m in ["a", "a.b", "a.b.c", "m", "n", "n.x", "own"]]
+    assert K.reachable_modules(callers.limit(0), scopes, reach, barrels).collect() == []
+
+
 def test_gate_reasons(spark):
     rows = [
         ("accepted", "1", "exact_qname", None, 1, True, None), ("accepted", "1", "exact_qname", None, 1, False, "outside_in_repo_scope"), ("accepted", None, "exact_qname", None, 1, True, "invalid_observation_shape"),
