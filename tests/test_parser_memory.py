@@ -46,8 +46,8 @@ def test_edges_between_names_that_two_kinds_share(spark):
 
 
 #: Exchanges of a query: one brings a file's parts together; I2 has another for its own distinct rows.
-EXCHANGES = {"I2_parse_errors": 2}
-WANT = {"I2_parse_errors": [("mod10.py",)]}
+EXCHANGES = {"I2_parse_errors": 2, "I6_call_targets": 1}
+WANT = {"I2_parse_errors": [("mod10.py",)], "I6_call_targets": [(f"mod{s}.S{s}.p{p}", "helper") for s in (11, 9) for p in (1, 2)]}
 
 
 @pytest.mark.parametrize("name", EXCHANGES)
