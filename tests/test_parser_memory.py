@@ -46,8 +46,9 @@ def test_edges_between_names_that_two_kinds_share(spark):
 
 
 #: Exchanges of a query: one brings a file's parts together; I2 has another for its own distinct rows.
-EXCHANGES = {"I2_parse_errors": 2, "I6_call_targets": 1}
+EXCHANGES = {"I2_parse_errors": 2, "I6_call_targets": 1, "I3_parsed_nodes": 1}
 WANT = {"I2_parse_errors": [("mod10.py",)], "I6_call_targets": [(f"mod{s}.S{s}.p{p}", "helper") for s in (11, 9) for p in (1, 2)]}
+WANT["I3_parsed_nodes"] = sorted([(f"mod{s}", "module") for s in (9, 10, 11)] + [(f"mod{s}.S{s}", "classifier") for s in (9, 11)] + [(c, "callable") for c, _ in WANT["I6_call_targets"]])
 
 
 @pytest.mark.parametrize("name", EXCHANGES)
