@@ -60,3 +60,14 @@ def test_pairs_are_shuffled_once_without_repeats(spark, tmp_path, name):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == EXCHANGES[name]
     assert sorted(tuple(r) for r in got.collect()) == WANT[name]
+
+
+def test_imports_shuffle_pairs_once(spark, tmp_path, monkeypatch):
+    from codegrove.plans import sources
+
+    plans, stored = [], sources.stored
+    monkeypatch.setattr(sources, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    spark.createDataFrame([(s, p) for s in (8, 9, 10, 11) for p in (1, 2, 2)], "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = __spark_entry__.queries()["I5_internal_imports"](spark, str(tmp_path))
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1]
+    assert sorted(tuple(r) for r in got.collect()) == [("mod8", "mod9"), ("mod9", "mod10")]
