@@ -168,6 +168,12 @@ def test_rows_of_a_file_beyond_2_mb(spark, tmp_path):
     assert q["I2_parse_errors"](spark, str(tmp_path)).count() == 0
 
 
+def test_imports_of_a_file_beyond_2_mb(spark, tmp_path):
+    spark.range(40_000).selectExpr("8L as l_suppkey", "id + 100000 as l_partkey").union(spark.sql("select 9L, 1L")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = __spark_entry__.queries()["I5_internal_imports"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.collect()] == [("mod8", "mod9")]
+
+
 def test_a_worker_is_handed_few_bytes_at_once(spark):
     """40 files of 1 MB don't come to a worker in one batch, which both sides would hold."""
     files = spark.range(40).coalesce(1).selectExpr("cast(id as string) file_path", "repeat('x', 1000000) as text")
